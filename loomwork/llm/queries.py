@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import code_docs, groups, syntax
+from . import code_docs, groups, near_copies, shared_spans, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +36,29 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return groups.grouped_split(table(spark, d, "mutation_tasks"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    tasks, chats = table(spark, d, "mutation_tasks"), table(spark, d, "sft_examples")
+    return near_copies.task_records(tasks).unionByName(near_copies.chat_records(chats))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_copies.cross_split_pairs(_records(spark, d))
+    return pairs.select("kind", F.least("key_e", "key_t").alias("key_a"), F.greatest("key_e", "key_t").alias("key_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.overlap_report(near_copies.cross_split_pairs(_records(spark, d)))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.sharing_routines(table(spark, d, "mutation_tasks"))
+
+
+def p5_parts(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_parts(table(spark, d, "mutation_tasks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_split)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_split, p4_found, p4_report, p5_found, p5_parts)
 }
 SQL: dict[str, str] = {}
