@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import code_docs, groups, near_copies, shared_spans, syntax
+from . import code_docs, containers, groups, leaks, near_copies, shared_spans, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,32 @@ def p5_parts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_parts(table(spark, d, "mutation_tasks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = containers.fill_containers(table(spark, d, "documents"))
+    return packed.where(F.col("piece") == 1).select("doc_id")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill_containers(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill_report(containers.fill_containers(table(spark, d, "documents")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.PhraseIndex(table(spark, d, "documents")).phrases(table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p7_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.PhraseIndex(table(spark, d, "documents")).phrases(table(spark, d, "heldout_items"))
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.PhraseIndex(table(spark, d, "documents")).near(table(spark, d, "heldout_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_split, p4_found, p4_report, p5_found, p5_parts)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_split, p4_found, p4_report, p5_found, p5_parts, p6_found, p6_containers, p6_fill, p7_found, p7_phrases, p7_near)
 }
 SQL: dict[str, str] = {}
