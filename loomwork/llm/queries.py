@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import code_docs, containers, groups, leaks, near_copies, shared_spans, syntax
+from . import code_docs, containers, groups, languages, leaks, near_copies, shared_spans, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,21 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leaks.PhraseIndex(table(spark, d, "documents")).near(table(spark, d, "heldout_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"))
+
+
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(table(spark, d, "documents"))
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    found = languages.detect(documents, languages.learn(documents))
+    return found.select("doc_id", F.posexplode("stretches").alias("stretch", "s")).select("doc_id", "stretch", "s.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_split, p4_found, p4_report, p5_found, p5_parts, p6_found, p6_containers, p6_fill, p7_found, p7_phrases, p7_near)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_split, p4_found, p4_report, p5_found, p5_parts, p6_found, p6_containers, p6_fill, p7_found, p7_phrases, p7_near, p8_found, p8_labels, p8_stretches)
 }
 SQL: dict[str, str] = {}
