@@ -1,6 +1,6 @@
 """Problem 4: the same or nearly the same records across splits.
 
-Records with equal sets of word triples form a class; all further work is on classes, memberships stay aside.
+Records with equal sequences of words form a class; all further work is on classes, memberships stay aside.
 
 1. Every class has a bit fingerprint: each triple's hash flips one of 256 bits. Two sets that differ in d triples have
    fingerprints that differ in at most d bits, so "within the Hamming radius" never loses a pair.
@@ -46,12 +46,14 @@ def chat_records(examples: DataFrame) -> DataFrame:
     return examples.select(F.lit("sft").alias("kind"), F.col("example_id").alias("key"), split_name(F.col("split")).alias("split"), "source", F.col("received_at").alias("arrived"), text.alias("text"))
 
 
-def triple_codes(text) -> F.Column:
-    """Hashes of the different word sequences of a text; words are runs of a-z and 0-9 in lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.array_distinct(
-        F.transform(F.filter(F.array(words), lambda w: F.size(w) >= WORDS), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[w[i + k] for k in range(WORDS)])))[0]
-    )
+def normal(text) -> F.Column:
+    """The words of a text, runs of a-z and 0-9 in lower case, one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def triple_codes(norm) -> F.Column:
+    """Hashes of the different word sequences of a normal text."""
+    return F.array_distinct(F.transform(F.filter(F.array(F.split(norm, " ")), lambda w: F.size(w) >= WORDS), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[w[i + k] for k in range(WORDS)])))[0])
 
 
 def fingerprint(codes) -> list[F.Column]:
@@ -66,45 +68,54 @@ def fingerprint(codes) -> list[F.Column]:
 
 
 def classes_of(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): members (kind, key, split, source, cid), classes (cid, n, codes, fingerprint)."""
-    raw = records.where(F.col("key").isNotNull() & F.col("split").isNotNull() & F.col("text").isNotNull()).withColumn("tid", F.unhex(F.md5("text")))
+    """(members, classes): members (kind, key, split, source, cid), classes (cid, t, e, n, codes, fingerprint).
+
+    A class is one sequence of words. t and e say whether a train or an evaluation record has it.
+    """
+    raw = records.where(F.col("key").isNotNull() & F.col("split").isNotNull() & F.col("text").isNotNull()).withColumn("norm", normal(F.col("text"))).withColumn("tid", F.unhex(F.md5("norm")))
+    train = F.col("split") == "train"
+    texts = raw.groupBy("kind", "tid").agg(F.first("norm").alias("norm"), F.max(train).alias("t"), F.max(~train).alias("e"))
+    coded = texts.select("kind", "tid", "t", "e", triple_codes(F.col("norm")).alias("codes")).where(F.size("codes") > 0)
+    classes = scratch.keep(coded.select("kind", "tid", F.monotonically_increasing_id().alias("cid"), "t", "e", F.size("codes").alias("n"), "codes", *fingerprint(F.col("codes"))))
     late = F.coalesce(F.col("arrived"), F.lit("9999-01-01").cast("timestamp"))
     members = raw.groupBy("kind", "key").agg(F.min(F.struct(late.alias("at"), "split", "source", "tid")).alias("m")).select("kind", "key", "m.split", "m.source", "m.tid")
-    texts = raw.groupBy("kind", "tid").agg(F.first("text").alias("text"))
-    coded = texts.select("kind", "tid", triple_codes(F.col("text")).alias("codes")).where(F.size("codes") > 0)
-    coded = scratch.keep(coded.select("kind", "tid", F.xxhash64("kind", F.array_sort("codes")).alias("cid"), F.size("codes").alias("n"), "codes", *fingerprint(F.col("codes"))))
-    ids = coded.select("kind", "tid", "cid")
-    placed = scratch.keep(skew_join(members, ids, ["kind", "tid"]).drop("tid"))
-    return placed, coded.drop("kind", "tid").dropDuplicates(["cid"])
+    placed = scratch.keep(skew_join(members, classes.select("kind", "tid", "cid"), ["kind", "tid"]).drop("tid"))
+    return placed, classes.drop("kind", "tid")
 
 
-def similar_classes(members: DataFrame, classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """(cid_e, cid_t, similarity): classes of evaluation and train records with Jaccard similarity at or over ``threshold``."""
-    train = F.col("split") == "train"
-    roles = members.groupBy("cid").agg(F.max(train).alias("t"), F.max(~train).alias("e"))
-    classes = scratch.keep(classes.join(roles, "cid"))
-    rows = classes.select("cid", "t", "e", F.explode("codes").alias("code"))
-    # The order of codes decides speed only, so a bounded sample may say which codes are too frequent for one task.
+    # Join keys are 40 bits of a code, and roles ride on the class id: narrow rows, for all codes pass through one shuffle.
+    role = F.col("t").cast("bigint") + F.col("e").cast("bigint") * 2
+    rows = classes.select((F.col("cid") * 4 + role).alias("who"), F.explode(F.transform("codes", lambda c: F.shiftrightunsigned(c, 24))).alias("key"))
+    # The order of keys decides speed only, so a bounded sample may say which are too frequent for one task.
     sample = classes.orderBy("cid").limit(SAMPLE)
-    frequent = sample.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("often")).where(F.col("often") > SAMPLE * FREQUENT)
+    frequent = sample.select(F.explode("codes").alias("c")).groupBy(F.shiftrightunsigned("c", 24).alias("key")).agg(F.count("*").alias("often")).where(F.col("often") > SAMPLE * FREQUENT)
     frequent = scratch.keep(frequent)  # at most 1 / FREQUENT times the mean number of codes
-    rare = rows.join(F.broadcast(frequent), "code", "left_anti").repartition("code")
-    both = rare.groupBy("code").agg(F.count_if("t").alias("ct"), F.count_if("e").alias("ce")).where((F.col("ct") > 0) & (F.col("ce") > 0))
-    weighed = rare.join(both, "code").select("cid", F.struct((F.col("ct") * F.col("ce")).alias("w"), "code").alias("x"))
-    common = rows.join(F.broadcast(frequent), "code").select("cid", F.struct((F.lit(1 << 60) + F.col("often")).alias("w"), "code").alias("x"))
-    ordered = weighed.unionByName(common).groupBy("cid").agg(F.array_sort(F.collect_list("x")).alias("alive"))
+    rare = rows.join(F.broadcast(frequent), "key", "left_anti").repartition("key")
+    has = lambda bit: F.col("who").bitwiseAND(F.lit(bit)) > 0
+    both = rare.groupBy("key").agg(F.count_if(has(1)).alias("ct"), F.count_if(has(2)).alias("ce")).where((F.col("ct") > 0) & (F.col("ce") > 0))
+    # One number orders all keys: the magnitude of the pairs a key would make, then the key.
+    weight = F.floor(F.log2(F.col("ct").cast("double") * F.col("ce"))).cast("bigint")
+    shifted = lambda x: F.call_function("shiftleft", x.cast("bigint"), F.lit(40))
+    weighed = rare.join(both, "key").select("who", (shifted(weight) + F.col("key")).alias("x"))
+    common = rows.join(F.broadcast(frequent), "key").select("who", (shifted(F.lit(1 << 12) + F.col("often")) + F.col("key")).alias("x"))
+    ordered = weighed.unionByName(common).groupBy("who").agg(F.array_sort(F.collect_list("x")).alias("alive")).withColumn("cid", F.shiftrightunsigned("who", 2))
     keep = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("alive")), F.lit(0)).cast("int")
     shape = [f"f{k}" for k in range(SLOTS)]
-    blocks = ordered.join(classes.select("cid", "n", "t", "e", *shape), "cid").select("cid", "n", "t", "e", *shape, F.explode(F.slice("alive", 1, keep)["code"]).alias("code"))
+    lead = F.transform(F.slice("alive", 1, keep), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
+    blocks = ordered.join(classes.select("cid", "n", "t", "e", *shape), "cid").select("cid", "n", "t", "e", *shape, F.explode(lead).alias("key"))
     blocks = scratch.keep(blocks)
-    of = lambda role, to: blocks.where(role).select("code", *[F.col(c).alias(c + to) for c in ("cid", "n", *shape)])
-    met = skew_join(of("t", "_t"), of("e", "_e"), ["code"])
+    of = lambda side, to: blocks.where(side).select("key", *[F.col(c).alias(c + to) for c in ("cid", "n", *shape)])
+    met = skew_join(of("t", "_t"), of("e", "_e"), ["key"])
     smaller, larger = F.least("n_e", "n_t"), F.greatest("n_e", "n_t")
     radius = (F.col("n_e") + F.col("n_t")) * (1 - threshold) / (1 + threshold) + 1e-6
     apart = sum((F.bit_count(F.col(f"{f}_e").bitwiseXOR(F.col(f"{f}_t"))) for f in shape), F.lit(0))
-    near = met.where((smaller >= larger * threshold - 1e-9) & (apart <= radius)).select("cid_e", "cid_t").distinct()
-    sets = lambda to: classes.select(F.col("cid").alias("cid" + to), F.col("codes").alias("codes" + to))
-    pairs = near.join(sets("_e"), "cid_e").join(sets("_t"), "cid_t")
+    near = scratch.keep(met.where((smaller >= larger * threshold - 1e-9) & (apart <= radius)).select("cid_e", "cid_t").distinct())
+    needed = near.select(F.col("cid_e").alias("cid")).union(near.select("cid_t")).distinct()
+    sets = classes.join(needed, "cid", "left_semi").select("cid", "codes")
+    side = lambda to: sets.select(F.col("cid").alias("cid" + to), F.col("codes").alias("codes" + to))
+    pairs = near.join(side("_e"), "cid_e").join(side("_t"), "cid_t")
     shared = F.size(F.array_intersect("codes_e", "codes_t"))
     alike = shared / (F.size("codes_e") + F.size("codes_t") - shared)
     return scratch.keep(pairs.select("cid_e", "cid_t", alike.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12))
@@ -114,7 +125,7 @@ def cross_split_pairs(records: DataFrame, scratch: Scratch | None = None, thresh
     """(kind, key_e, split_e, source_e, key_t, source_t, similarity) of every evaluation and train record that match."""
     scratch = scratch or Scratch(records.sparkSession)
     members, classes = classes_of(records, scratch)
-    pairs = similar_classes(members, classes, scratch, threshold)
+    pairs = similar_classes(classes, scratch, threshold)
     ev = members.where(F.col("split") != "train").select("kind", F.col("key").alias("key_e"), F.col("split").alias("split_e"), F.col("source").alias("source_e"), F.col("cid").alias("cid_e"))
     tr = members.where(F.col("split") == "train").select(F.col("key").alias("key_t"), F.col("source").alias("source_t"), F.col("cid").alias("cid_t"))
     hot_t = hot_keys(tr, ["cid_t"])
