@@ -18,7 +18,7 @@ without role is not a system message; repeated deliveries count once, by their e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, skew_join
@@ -87,18 +87,20 @@ def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THR
     """(cid_e, cid_t, similarity): classes of evaluation and train records with Jaccard similarity at or over ``threshold``."""
     # Join keys are 40 bits of a code, and roles ride on the class id: narrow rows, for all codes pass through one shuffle.
     role = F.col("t").cast("bigint") + F.col("e").cast("bigint") * 2
-    rows = classes.select((F.col("cid") * 4 + role).alias("who"), F.explode(F.transform("codes", lambda c: F.shiftrightunsigned(c, 24))).alias("key"))
+    rows = classes.select((F.col("cid") * 4 + role).alias("who"), F.explode("codes").alias("code")).select("who", F.shiftrightunsigned("code", 24).alias("key"))
     # The order of keys decides speed only, so a bounded sample may say which are too frequent for one task.
     sample = classes.orderBy("cid").limit(SAMPLE)
     frequent = sample.select(F.explode("codes").alias("c")).groupBy(F.shiftrightunsigned("c", 24).alias("key")).agg(F.count("*").alias("often")).where(F.col("often") > SAMPLE * FREQUENT)
     frequent = scratch.keep(frequent)  # at most 1 / FREQUENT times the mean number of codes
-    rare = rows.join(F.broadcast(frequent), "key", "left_anti").repartition("key")
+    rare = rows.join(F.broadcast(frequent), "key", "left_anti")
     has = lambda bit: F.col("who").bitwiseAND(F.lit(bit)) > 0
-    both = rare.groupBy("key").agg(F.count_if(has(1)).alias("ct"), F.count_if(has(2)).alias("ce")).where((F.col("ct") > 0) & (F.col("ce") > 0))
+    # Counts over a window, not an aggregate joined back: all codes pass through one shuffle, and no key is frequent.
+    same = Window.partitionBy("key")
+    both = rare.select("who", "key", F.count_if(has(1)).over(same).alias("ct"), F.count_if(has(2)).over(same).alias("ce")).where((F.col("ct") > 0) & (F.col("ce") > 0))
     # One number orders all keys: the magnitude of the pairs a key would make, then the key.
     weight = F.floor(F.log2(F.col("ct").cast("double") * F.col("ce"))).cast("bigint")
     shifted = lambda x: F.call_function("shiftleft", x.cast("bigint"), F.lit(40))
-    weighed = rare.join(both, "key").select("who", (shifted(weight) + F.col("key")).alias("x"))
+    weighed = both.select("who", (shifted(weight) + F.col("key")).alias("x"))
     common = rows.join(F.broadcast(frequent), "key").select("who", (shifted(F.lit(1 << 12) + F.col("often")) + F.col("key")).alias("x"))
     ordered = weighed.unionByName(common).groupBy("who").agg(F.array_sort(F.collect_list("x")).alias("alive")).withColumn("cid", F.shiftrightunsigned("who", 2))
     keep = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("alive")), F.lit(0)).cast("int")
