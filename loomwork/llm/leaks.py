@@ -2,8 +2,8 @@
 
 A positional inverted index of all documents is written once: (term, doc_id, pos). Of every n successive words of an
 item the term that is rarest in the index is looked up; its postings, shifted by the term's place in the item, are the
-alignments at which that phrase can stand. The item's other terms then intersect with the index at these shifted
-positions, and runs of n or more hits are the exact phrases. Proximity matches need only several rare terms of an item
+alignments at which that phrase can stand. The next rarer terms intersect with the index at these shifted positions,
+then all of the item's terms, and runs of n or more hits are the exact phrases. Proximity matches need only several rare terms of an item
 at nearly one alignment.
 
 Words are runs of letters or digits after NFC and case folding. Terms are 64-bit hashes of words.
@@ -85,25 +85,36 @@ class PhraseIndex:
         return self.scratch.keep(tokens.join(bounded(freq), "term", "left").select("item_id", "at", "term", F.coalesce("freq", F.lit(0)).alias("freq")))
 
     def anchors(self, tokens: DataFrame, n: int) -> DataFrame:
-        """(item_id, at, term): the rarest term of every n successive words, where all n occur in the index."""
+        """(item_id, a1, a2, a3): the three rarest terms, each {freq, at, term}, of every n successive words that all occur in the index."""
         w = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, n - 1)
-        span = tokens.select("item_id", F.count("*").over(w).alias("size"), F.min(F.struct("freq", "at", "term")).over(w).alias("r"))
-        return span.where((F.col("size") == n) & (F.col("r.freq") > 0)).select("item_id", "r.at", "r.term").distinct()
+        span = tokens.select("item_id", F.array_sort(F.collect_list(F.struct("freq", "at", "term")).over(w)).alias("r"))
+        full = span.where((F.size("r") == n) & (F.col("r")[0]["freq"] > 0))
+        return full.select("item_id", *[F.col("r")[min(k, n - 1)].alias(f"a{k + 1}") for k in range(3)]).distinct()
 
     def alignments(self, anchors: DataFrame) -> DataFrame:
-        """(item_id, doc_id, shift, at): anchors' places in documents; shift = place in the document - place in the item."""
-        hits = self.postings.join(anchors, "term") if _broadcasts(anchors) else skew_join(self.postings, anchors, ["term"])
-        return hits.select("item_id", "doc_id", (F.col("pos") - F.col("at")).alias("shift"), "at")
+        """(item_id, doc_id, shift, at, a2, a3): places of each rarest term; shift = place in the document - place in the item."""
+        first = anchors.select("item_id", F.col("a1.term").alias("term"), F.col("a1.at").alias("at"), "a2", "a3")
+        small = bounded(first)
+        hits = self.postings.join(small, "term") if small is not first else skew_join(self.postings, first, ["term"])
+        return hits.select("item_id", "doc_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "a2", "a3")
+
+    def intersected(self, anchors: DataFrame) -> DataFrame:
+        """(item_id, doc_id, shift): alignments at which the second and the third rarest term stand as well."""
+        hits = self.alignments(anchors)
+        for a in ("a2", "a3"):
+            terms = bounded(anchors.select(F.col(f"{a}.term").alias("term")).distinct())
+            there = self.postings.join(terms, "term", "left_semi").select("doc_id", "term", "pos")
+            hits = hits.withColumn("term", F.col(f"{a}.term")).withColumn("pos", F.col("shift") + F.col(f"{a}.at")).join(there, ["doc_id", "term", "pos"], "left_semi")
+        return hits.select("item_id", "doc_id", "shift").distinct()
 
     def phrases(self, items: DataFrame, n: int = PHRASE) -> DataFrame:
         """(doc_id, item_id, longest, matched): longest run of common words and the item's words in runs of n or more."""
         tokens = self.item_tokens(items)
-        anchors = bounded(self.scratch.keep(self.anchors(tokens, n)))
-        aligned = self.scratch.keep(self.alignments(anchors).select("item_id", "doc_id", "shift").distinct())
+        aligned = self.scratch.keep(self.intersected(self.scratch.keep(self.anchors(tokens, n))))
         ours = bounded(tokens.select("item_id", "at", "term"))
         wanted = aligned.join(ours, "item_id").select("item_id", "doc_id", "shift", "at", "term", (F.col("at") + F.col("shift")).alias("pos")).where(F.col("pos") >= 0)
         terms = bounded(tokens.select("term").distinct())
-        docs = self.postings.join(terms, "term", "left_semi").join(aligned.select("doc_id").distinct(), "doc_id", "left_semi")
+        docs = self.postings.join(terms, "term", "left_semi").join(bounded(aligned.select("doc_id").distinct()), "doc_id", "left_semi")
         hits = wanted.join(docs, ["doc_id", "pos", "term"])
         run = Window.partitionBy("doc_id", "item_id", "shift").orderBy("at")
         islands = hits.withColumn("island", F.col("at") - F.row_number().over(run)).groupBy("doc_id", "item_id", "shift", "island").agg(F.count("*").alias("length"), F.min("at").alias("first"))
@@ -116,13 +127,10 @@ class PhraseIndex:
         more, within ``slack`` words of one alignment; words may be missing, added or changed between them."""
         tokens = self.item_tokens(items)
         anchors = self.scratch.keep(self.anchors(tokens, n))
-        of = anchors.groupBy("item_id").agg(F.countDistinct("at").alias("of"))
-        hits = self.alignments(bounded(anchors))
+        of = anchors.groupBy("item_id").agg(F.countDistinct("a1.at").alias("of"))
+        hits = self.alignments(anchors)
         # An alignment falls into two overlapping bins, so any two within the slack meet in one.
         bins = hits.select("item_id", "doc_id", "at", F.explode(F.array(F.floor(F.col("shift") / (2 * slack)) * 2, F.floor((F.col("shift") + slack) / (2 * slack)) * 2 - 1)).alias("bin"))
         best = bins.groupBy("item_id", "doc_id", "bin").agg(F.countDistinct("at").alias("anchors")).groupBy("item_id", "doc_id").agg(F.max("anchors").alias("anchors"))
         return best.join(bounded(of), "item_id").where((F.col("anchors") >= 2) & (F.col("anchors") >= F.col("of") * share)).select("doc_id", "item_id", "anchors", "of")
 
-
-def _broadcasts(df: DataFrame) -> bool:
-    return df._jdf.queryExecution().analyzed().toString().startswith("UnresolvedHint") or "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()[:200]
