@@ -14,12 +14,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..operators.skew import ranked, skew_join
 from ..sources.scratch import Scratch
 
 # What stands where an author should be and names nobody.
 NOBODY = ["", "-", "--", "---", "?", "??", "???", ".", "_", "n/a", "na", "n.a.", "none", "null", "nil", "nobody", "no one", "noone", "anonymous", "anon", "unknown", "unassigned", "undefined", "tbd", "tba", "todo", "not available", "no author", "not known", "(none)", "(unknown)", "<unknown>", "<none>"]
-ROUNDS = 60
 
 
 def routine_name(routine, task_id) -> F.Column:
@@ -45,72 +45,6 @@ def distinct_tasks(tasks: DataFrame) -> DataFrame:
     )
 
 
-def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(name, unit): the component of each name, named by its least member, over pairs (name, who); null who ties nothing."""
-    names = scratch.keep(pairs.select("name").distinct())
-    edges = scratch.keep(pairs.where(F.col("who").isNotNull()).select(F.col("name").alias("r"), F.col("who").alias("a")).distinct())
-    edges = _open(edges, scratch, replace=True)
-    parents: DataFrame | None = None
-    for _ in range(ROUNDS):
-        if edges.isEmpty():
-            break
-        # The least and the second least root around each author give each root its least neighbour other than itself.
-        two = _two_least(edges)
-        hooks = edges.join(two, "a").groupBy("r").agg(F.min(F.when(F.col("m1") != F.col("r"), F.col("m1")).otherwise(F.col("m2"))).alias("p"))
-        hooks = scratch.keep(hooks)
-        # Two roots that chose each other: the smaller stays a root.
-        back = hooks.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-        forest = scratch.keep(hooks.join(back, "p", "left").select("r", F.when((F.col("pp") == F.col("r")) & (F.col("r") < F.col("p")), F.col("r")).otherwise(F.col("p")).alias("p")))
-        scratch.drop(hooks)
-        forest = _shortcut(forest, scratch)
-        to = forest.select(F.col("r").alias("old"), F.col("p").alias("new"))
-        moved = edges.join(to, edges["r"] == to["old"], "left").select(F.coalesce("new", "r").alias("r"), "a").distinct()
-        following = _open(scratch.keep(moved), scratch, replace=True)
-        scratch.drop(edges)
-        edges = following
-        if parents is None:
-            parents = forest
-        else:
-            up = forest.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-            grown = scratch.keep(parents.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p")).unionByName(forest.join(parents.select("r"), "r", "left_anti").select("r", "p")))
-            scratch.drop(parents, forest)
-            parents = grown
-    else:
-        raise RuntimeError("components did not settle")
-    if parents is None:
-        return names.select("name", F.col("name").alias("unit"))
-    rooted = names.join(parents.withColumnRenamed("r", "name"), "name", "left").select("name", F.coalesce("p", "name").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("name").alias("unit"))
-    return scratch.keep(skew_join(rooted, least, ["root"]).select("name", "unit"))
-
-
-def _two_least(edges: DataFrame) -> DataFrame:
-    """Per author the two least of its roots, by aggregates that combine before the shuffle; edges are distinct."""
-    least = edges.groupBy("a").agg(F.min("r").alias("m1"))
-    second = edges.join(least, "a").where(F.col("r") != F.col("m1")).groupBy("a", "m1").agg(F.min("r").alias("m2"))
-    return second
-
-
-def _open(edges: DataFrame, scratch: Scratch, replace: bool) -> DataFrame:
-    """Edges of authors that still tie several roots."""
-    tied = edges.groupBy("a").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where(F.col("lo") != F.col("hi")).select("a")
-    kept = scratch.keep(edges.join(tied, "a", "left_semi"))
-    if replace:
-        scratch.drop(edges)
-    return kept
-
-
-def _shortcut(forest: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pointer doubling until every parent is a root."""
-    while True:
-        up = forest.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-        jumped = scratch.keep(forest.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")))
-        scratch.drop(forest)
-        forest = jumped
-        if forest.where("moved").isEmpty():
-            return forest
-
-
 # ---- split totals -------------------------------------------------------------------------------------------------
 
 
