@@ -82,23 +82,26 @@ def telling(text: str, label: str, formals) -> bool:
     return len({w.lower() for w in WORD.findall(text)} - own) >= MIN_WORDS
 
 
-def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for file_id, path, src in zip(b["file_id"], b["path"], b["src"]):
-            reader = READERS.get(ending(path))
-            if reader is None or not isinstance(src, str) or fault_of(path, src)[2]:
-                continue
-            for f in reader(src):
-                docs = [{"place": p, "text": t} for p, t in f["docs"]]
-                rows.append((file_id, f["name"], f["kind"], f["formals"], f["line"], docs, f["body"]))
-        yield pd.DataFrame(rows, columns=["file_id", "label", "kind", "formals", "line", "docs", "body"])
-
-
-def symbol_table(routines: DataFrame) -> DataFrame:
-    """One row per function of a file that parses: qualified name, formals, line, comments by place, body."""
+def _symbols(bodies: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for file_id, path, src in zip(b["file_id"], b["path"], b["src"]):
+                reader = READERS.get(ending(path))
+                if reader is None or not isinstance(src, str) or fault_of(path, src)[2]:
+                    continue
+                for f in reader(src):
+                    docs = [{"place": p, "text": t} for p, t in f["docs"]]
+                    rows.append((file_id, f["name"], f["kind"], f["formals"], f["line"], docs, f["body"] if bodies else None))
+            yield pd.DataFrame(rows, columns=["file_id", "label", "kind", "formals", "line", "docs", "body"])
+
+    return run
+
+
+def symbol_table(routines: DataFrame, bodies: bool = True) -> DataFrame:
+    """One row per function of a file that parses: qualified name, formals, line, comments by place, body (or null)."""
     need = routines.select("file_id", "path", "src").where(F.col("file_id").isNotNull())
-    return need.mapInPandas(_symbols, SYMBOLS)
+    return need.mapInPandas(_symbols(bodies), SYMBOLS)
 
 
 def _tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,12 +122,12 @@ def signature(formals) -> F.Column:
     return F.array_join(F.transform(F.coalesce(formals, F.array().cast("array<string>")), lambda x: F.upper(F.regexp_replace(x, r"[\s.]", ""))), ",")
 
 
-def documented_functions(routines: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Code-description pairs: file_id, label, kind, formals, line, declared, body, description.
+def documented_functions(routines: DataFrame, labels: DataFrame | None = None, bodies: bool = True) -> DataFrame:
+    """Code-description pairs: file_id, label, kind, formals, line, declared, body (null unless wanted), description.
 
     ``labels`` are separate declarations (file_id, label, formals); ``declared`` says whether one matched.
     """
-    symbols = symbol_table(routines).withColumn("sig", signature(F.col("formals"))).withColumn("folded", F.upper("label"))
+    symbols = symbol_table(routines, bodies).withColumn("sig", signature(F.col("formals"))).withColumn("folded", F.upper("label"))
     # Documentation of one (file, name, signature) is pooled, whichever of its declarations carries it.
     pooled = symbols.groupBy("file_id", "label", "folded", "sig").agg(
         F.max("kind").alias("kind"), F.max("formals").alias("formals"), F.min("line").alias("line"),
