@@ -59,7 +59,7 @@ def inventory(sources: DataFrame, active_file: str | None = None) -> DataFrame:
     """Sources with their relevance to a file: 6 where a pattern matches its path or base name, 2 where none is set."""
     name = F.lit(active_file or "")
     base = F.substring_index(name, "/", -1)
-    match = F.exists("file_patterns", lambda p: name.rlike(_glob(p)) | base.rlike(_glob(p)))
+    match = F.exists("file_patterns", lambda p: F.regexp_like(name, _glob(p)) | F.regexp_like(base, _glob(p)))
     relevance = F.when(F.lit(active_file is not None) & match, 6).when(F.size(F.coalesce("file_patterns", F.array())) == 0, 2).otherwise(0)
     return sources.select("*", relevance.alias("relevance")).orderBy(F.desc("relevance"), F.desc("priority"), "id")
 

@@ -26,11 +26,27 @@ def source_directory(spark: SparkSession, path: str, limit: int | None = None) -
 
     ``limit`` keeps the first files in order of path.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.m").load(path)
+    reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.m")
+    raw = reader().load(path)
+    hidden = _underscored(spark, path)
+    if hidden:
+        raw = raw.unionByName(reader().load(hidden))
     out = raw.select(name_for_file(F.col("path")).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), "path", F.sha2("content", 256).alias("sha256"))
     return out.orderBy("path").limit(limit) if limit else out
 
 
+def _underscored(spark: SparkSession, path: str) -> list[str]:
+    """Paths of ``_X.m`` below ``path``: a directory scan passes over names with an underscore, explicit paths do not."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    it = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while it.hasNext():
+        p = it.next().getPath()
+        if p.getName().startswith("_") and p.getName().endswith(".m"):
+            found.append(p.toString())
+    return found
+
+
 def with_fallback(wanted: DataFrame, corpus: DataFrame, fallback: DataFrame) -> DataFrame:
     """(name, source, origin) of wanted names: from the corpus, else from the fallback, else missing."""
     c = corpus.select("name", F.col("source").alias("a"))
