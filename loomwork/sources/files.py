@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +29,28 @@ def source_directory(spark: SparkSession, path: str, limit: int | None = None) -
 
     ``limit`` keeps the first files in order of path.
     """
-    reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.m")
-    raw = reader().load(path)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.m").load(path).select("path", "content")
     hidden = _underscored(spark, path)
     if hidden:
-        raw = raw.unionByName(reader().load(hidden))
+        raw = raw.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(_read_bytes, "path string, content binary"))
     out = raw.select(name_for_file(F.col("path")).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), "path", F.sha2("content", 256).alias("sha256"))
     return out.orderBy("path").limit(limit) if limit else out
 
 
+def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for b in batches:
+        content = []
+        for p in b["path"]:
+            where, name = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+            with where.open_input_file(name) as f:
+                content.append(f.read())
+        yield b.assign(content=content)
+
+
 def _underscored(spark: SparkSession, path: str) -> list[str]:
-    """Paths of ``_X.m`` below ``path``: a directory scan passes over names with an underscore, explicit paths do not."""
+    """Paths of ``_X.m`` below ``path``: Spark's file sources pass over names that begin with an underscore."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     it = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
     found = []
