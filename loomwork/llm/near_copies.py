@@ -52,8 +52,10 @@ def normal(text) -> F.Column:
 
 
 def triple_codes(norm) -> F.Column:
-    """Hashes of the different word sequences of a normal text."""
-    return F.array_distinct(F.transform(F.filter(F.array(F.split(norm, " ")), lambda w: F.size(w) >= WORDS), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[w[i + k] for k in range(WORDS)])))[0])
+    """Hashes of the different word sequences of a normal text; null where it is too short for one."""
+    long = F.filter(F.array(F.split(norm, " ")), lambda w: F.size(w) >= WORDS)
+    sequences = F.transform(long, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[w[i + k] for k in range(WORDS)])))
+    return F.array_distinct(F.get(sequences, F.lit(0)))
 
 
 def fingerprint(codes) -> list[F.Column]:
