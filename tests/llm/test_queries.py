@@ -18,3 +18,16 @@ def test_runs(spark, name):
     rows = df.collect()
     if name in COLUMNS:
         assert df.columns == COLUMNS[name] and len({tuple(r) for r in rows}) == len(rows) > 0
+
+
+def _sql():
+    from loomwork.llm.queries import SQL
+
+    return SQL
+
+
+@pytest.mark.parametrize("name", sorted(_sql()))
+def test_same_rows_as_sql(spark, name):
+    from differential import compare
+
+    assert compare(spark, name, QUERIES[name], _sql()[name]) > 0
