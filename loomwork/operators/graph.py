@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .skew import skew_join
+from .skew import skew_join, written_hot_keys
 
 ROUNDS = 60
 
@@ -28,16 +28,16 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(ROUNDS):
         if edges.isEmpty():
             break
-        two = _two_least(edges)
+        hot = written_hot_keys(edges, ["a"])
+        two = _two_least(edges, hot)
         # The least root around each author, or the second least for the least itself.
-        hooks = scratch.keep(edges.join(two, "a").groupBy("r").agg(F.min(F.when(F.col("m1") != F.col("r"), F.col("m1")).otherwise(F.col("m2"))).alias("p")))
+        hooks = scratch.keep(skew_join(edges, two, ["a"], hot=hot).groupBy("r").agg(F.min(F.when(F.col("m1") != F.col("r"), F.col("m1")).otherwise(F.col("m2"))).alias("p")))
         # Two roots that chose each other: the smaller stays a root.
         back = hooks.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-        forest = scratch.keep(hooks.join(back, "p", "left").select("r", F.when((F.col("pp") == F.col("r")) & (F.col("r") < F.col("p")), F.col("r")).otherwise(F.col("p")).alias("p")))
+        forest = scratch.keep(skew_join(hooks, back, ["p"], "left", hot=written_hot_keys(hooks, ["p"])).select("r", F.when((F.col("pp") == F.col("r")) & (F.col("r") < F.col("p")), F.col("r")).otherwise(F.col("p")).alias("p")))
         scratch.drop(hooks)
         forest = _shortcut(forest, scratch)
-        to = forest.select(F.col("r").alias("old"), F.col("p").alias("new"))
-        moved = edges.join(to, edges["r"] == to["old"], "left").select(F.coalesce("new", "r").alias("r"), "a").distinct()
+        moved = skew_join(edges, forest.select("r", F.col("p").alias("new")), ["r"], "left", hot=written_hot_keys(edges, ["r"])).select(F.coalesce("new", "r").alias("r"), "a").distinct()
         following = _open(scratch.keep(moved), scratch)
         scratch.drop(edges)
         edges = following
@@ -45,7 +45,7 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
             parents = forest
         else:
             up = forest.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-            grown = parents.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p")).unionByName(forest.join(parents.select("r"), "r", "left_anti").select("r", "p"))
+            grown = skew_join(parents, up, ["p"], "left", hot=written_hot_keys(parents, ["p"])).select("r", F.coalesce("pp", "p").alias("p")).unionByName(forest.join(parents.select("r"), "r", "left_anti").select("r", "p"))
             grown = scratch.keep(grown)
             scratch.drop(parents, forest)
             parents = grown
@@ -58,16 +58,16 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(skew_join(rooted, least, ["root"]).select("name", "unit"))
 
 
-def _two_least(edges: DataFrame) -> DataFrame:
+def _two_least(edges: DataFrame, hot: list[tuple]) -> DataFrame:
     """Per author the two least of its roots; edges are distinct."""
     least = edges.groupBy("a").agg(F.min("r").alias("m1"))
-    return edges.join(least, "a").where(F.col("r") != F.col("m1")).groupBy("a", "m1").agg(F.min("r").alias("m2"))
+    return skew_join(edges, least, ["a"], hot=hot).where(F.col("r") != F.col("m1")).groupBy("a", "m1").agg(F.min("r").alias("m2"))
 
 
 def _open(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges of authors that still tie several roots; replaces ``edges``."""
     tied = edges.groupBy("a").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where(F.col("lo") != F.col("hi")).select("a")
-    kept = scratch.keep(edges.join(tied, "a", "left_semi"))
+    kept = scratch.keep(skew_join(edges, tied, ["a"], "left_semi", hot=written_hot_keys(edges, ["a"])))
     scratch.drop(edges)
     return kept
 
@@ -76,7 +76,7 @@ def _shortcut(forest: DataFrame, scratch: Scratch) -> DataFrame:
     """Pointer doubling until every parent is a root."""
     while True:
         up = forest.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-        jumped = scratch.keep(forest.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")))
+        jumped = scratch.keep(skew_join(forest, up, ["p"], "left", hot=written_hot_keys(forest, ["p"])).select("r", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")))
         scratch.drop(forest)
         forest = jumped
         if forest.where("moved").isEmpty():

@@ -11,8 +11,9 @@ HOT_SHARE = 200
 HOT_LEAST = 20_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, least: int = HOT_LEAST) -> list[tuple]:
+def hot_keys(df: DataFrame, keys: list[str], share: int | None = None, least: int | None = None) -> list[tuple]:
     """The hot keys with their counts: at most ``share`` of them, whatever the table's size. Null keys never join."""
+    share, least = share or HOT_SHARE, HOT_LEAST if least is None else least
     present = df.dropna(subset=keys)
     counts = present.groupBy(*keys).agg(F.count("*").alias("n"))
     total = present.agg(F.count("*").alias("total"))
@@ -20,6 +21,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, least: int
     return [tuple(r) for r in rows.collect()]
 
 
+def written_hot_keys(table: DataFrame, keys: list[str]) -> list[tuple]:
+    """``hot_keys`` of a written table, whose row count costs nothing: small tables have none."""
+    return hot_keys(table, keys) if table.count() > HOT_LEAST else []
+
+
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 32, hot: list[tuple] | None = None) -> DataFrame:
     """Join on ``keys`` where some keys of ``big`` hold many rows.
 

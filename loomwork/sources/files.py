@@ -167,3 +167,56 @@ def receipt(df: DataFrame, **counts: F.Column) -> DataFrame:
     """One row of counts with a hash over their JSON text, keys in order."""
     row = df.agg(*[counts[k].alias(k) for k in sorted(counts)])
     return row.withColumn("sha256", F.sha2(F.to_json(F.struct(*sorted(counts))), 256))
+
+
+def dump_lines(spark: SparkSession, path: str, end: str = "ENDDD") -> DataFrame:
+    """Lines of a dictionary dump; fails where its end marker is missing, for the dump was cut short."""
+    ls = spark.read.text(path).select(F.col("value").alias("line"))
+    whole = ls.agg(F.coalesce(F.bool_or(F.contains("line", F.lit(end))), F.lit(False)).alias("ok")).select(F.assert_true("ok", "the dump has no end marker").alias("guard"))
+    return ls.join(F.broadcast(whole)).where(F.col("guard").isNull()).select("line")  # one row
+
+
+def dump_samples(dump: DataFrame) -> DataFrame:
+    """(root, ref, value) of S| lines; the value keeps further bars."""
+    p = dump.where(F.col("line").startswith("S|")).select(F.split("line", r"\|", 4).alias("p")).where(F.size("p") == 4)
+    return p.select(F.col("p")[1].alias("root"), F.col("p")[2].alias("ref"), F.col("p")[3].alias("value"))
+
+
+def task_set(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
+    """Tasks of a task-set document; fails where a task lacks a field, its cases name another routine, or its source changed."""
+    schema = "schema string, tasks array<struct<task_id:string,routine:string,baseline_src:string,mutated_src:string,cases:array<struct<routine:string,entry:string,args:array<string>>>>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("tasks").alias("t")).select("t.*")
+    known = sources.select("routine", F.sha2("source", 256).alias("_want")).dropDuplicates(["routine"])
+    j = rows.join(known, "routine", "left")
+    blank = F.exists(F.array("task_id", "routine", "baseline_src", "mutated_src"), lambda c: F.coalesce(c, F.lit("")) == "")
+    strayed = F.exists(F.coalesce("cases", F.array()), lambda c: ~c["routine"].eqNullSafe(F.col("routine")))
+    bad = F.when(blank, "missing field").when(strayed, "case of another routine").when(~F.sha2("baseline_src", 256).eqNullSafe(F.col("_want")), "source changed")
+    checked = j.withColumn("_g", F.when(bad.isNull(), F.lit(None).cast("string")).otherwise(F.raise_error(F.concat(F.coalesce("task_id", F.lit("?")), F.lit(": "), bad))))
+    return checked.where(F.col("_g").isNull()).drop("_g", "_want")
+
+
+def names_set(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of a text file with one name per line, upper-cased; a missing file is an empty set."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "name string")
+    return spark.read.text(path).select(F.upper(F.trim("value")).alias("name")).where("name <> ''").distinct()
+
+
+def resolve_models(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """(model, resolved): registered names by their id, others as they are."""
+    r = registry.groupBy("name").agg(F.max("model_id").alias("model_id"))
+    return wanted.join(r, wanted["model"] == r["name"], "left").select("model", F.coalesce("model_id", "model").alias("resolved"))
+
+
+def document(df: DataFrame, order: str, top: int, **counts: F.Column) -> DataFrame:
+    """(document): one JSON text with counts and the first ``top`` rows in order; top-k before it is gathered."""
+    rows = df.orderBy(order).limit(top).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order]))).alias("rows"))
+    return df.agg(*[c.alias(k) for k, c in counts.items()]).join(F.broadcast(rows)).select(F.to_json(F.struct(*counts, "rows")).alias("document"))  # one row
+
+
+def write_tasks(df: DataFrame, path: str) -> None:
+    """Refuses an empty set and a path that exists."""
+    if df.isEmpty():
+        raise ValueError("no tasks")
+    write_once(df, path)

@@ -105,3 +105,12 @@ def test_spans(spark):
 def test_global_rank_breaks_ties_by_name(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 5.0), ("d", None)], "name string, score double").where("score IS NOT NULL")
     assert {(r["name"], r["rank"]) for r in ranking.global_rank(df).collect()} == {("c", 1), ("a", 2), ("b", 3)}
+
+
+def test_components_with_hot_authors(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_LEAST", 5)
+    monkeypatch.setattr(skew, "HOT_SHARE", 20)
+    rng = random.Random(8)
+    pairs = [(f"n{i:03}", "everyone") for i in range(0, 200, 2)] + [(f"n{rng.randrange(200):03}", f"w{rng.randrange(150)}") for _ in range(120)]
+    got = graph.components(spark.createDataFrame(pairs, "name string, who string"), Scratch(spark))
+    assert {r["name"]: r["unit"] for r in got.collect()} == union_find(pairs)
