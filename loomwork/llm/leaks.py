@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_join
+from ..operators.skew import skew_join, written_hot_keys
 from ..sources.scratch import Scratch
 
 PHRASE = 12
@@ -111,8 +111,10 @@ class PhraseIndex:
         """(doc_id, item_id, longest, matched): longest run of common words and the item's words in runs of n or more."""
         tokens = self.item_tokens(items)
         aligned = self.scratch.keep(self.intersected(self.scratch.keep(self.anchors(tokens, n))))
-        ours = bounded(tokens.select("item_id", "at", "term"))
-        wanted = aligned.join(ours, "item_id").select("item_id", "doc_id", "shift", "at", "term", (F.col("at") + F.col("shift")).alias("pos")).where(F.col("pos") >= 0)
+        ours_all = tokens.select("item_id", "at", "term")
+        ours = bounded(ours_all)
+        hot = written_hot_keys(aligned, ["item_id"])
+        wanted = skew_join(aligned, ours, ["item_id"], hot=hot if ours is ours_all else []).select("item_id", "doc_id", "shift", "at", "term", (F.col("at") + F.col("shift")).alias("pos")).where(F.col("pos") >= 0)
         terms = bounded(tokens.select("term").distinct())
         docs = self.postings.join(terms, "term", "left_semi").join(bounded(aligned.select("doc_id").distinct()), "doc_id", "left_semi")
         hits = wanted.join(docs, ["doc_id", "pos", "term"])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_keys, skew_join
+from ..operators.skew import skew_join, written_hot_keys
 from ..sources.scratch import Scratch
 
 THRESHOLD = 0.7
@@ -119,7 +119,7 @@ def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THR
     needed = near.select(F.col("cid_e").alias("cid")).union(near.select("cid_t")).distinct()
     sets = classes.join(needed, "cid", "left_semi").select("cid", "codes")
     side = lambda to: sets.select(F.col("cid").alias("cid" + to), F.col("codes").alias("codes" + to))
-    pairs = near.join(side("_e"), "cid_e").join(side("_t"), "cid_t")
+    pairs = skew_join(skew_join(near, side("_e"), ["cid_e"], hot=written_hot_keys(near, ["cid_e"])), side("_t"), ["cid_t"], hot=written_hot_keys(near, ["cid_t"]))
     shared = F.size(F.array_intersect("codes_e", "codes_t"))
     alike = shared / (F.size("codes_e") + F.size("codes_t") - shared)
     return scratch.keep(pairs.select("cid_e", "cid_t", alike.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12))
@@ -132,8 +132,8 @@ def cross_split_pairs(records: DataFrame, scratch: Scratch | None = None, thresh
     pairs = similar_classes(classes, scratch, threshold)
     ev = members.where(F.col("split") != "train").select("kind", F.col("key").alias("key_e"), F.col("split").alias("split_e"), F.col("source").alias("source_e"), F.col("cid").alias("cid_e"))
     tr = members.where(F.col("split") == "train").select(F.col("key").alias("key_t"), F.col("source").alias("source_t"), F.col("cid").alias("cid_t"))
-    hot_t = hot_keys(tr, ["cid_t"])
-    return skew_join(tr, skew_join(ev, pairs, ["cid_e"]), ["cid_t"], hot=hot_t).select("kind", "key_e", "split_e", "source_e", "key_t", "source_t", "similarity")
+    hot = [(k,) for (k, *_) in written_hot_keys(members, ["cid"])]
+    return skew_join(tr, skew_join(ev, pairs, ["cid_e"], hot=hot), ["cid_t"], hot=hot).select("kind", "key_e", "split_e", "source_e", "key_t", "source_t", "similarity")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:

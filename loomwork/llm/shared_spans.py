@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_LEAST, HOT_SHARE, skew_join
+from ..operators.skew import HOT_LEAST, HOT_SHARE, skew_join, written_hot_keys
 from ..sources.scratch import Scratch
 from .groups import routine_name
 
@@ -230,9 +230,9 @@ def shared_texts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, windo
     heads = paths.where(F.col("head") == F.col("code")).select("code")
     on = scratch.keep(kmers.join(heads, "code", "left_semi").select("code", "cid").distinct())
     a, b = on.withColumnRenamed("cid", "cid_a"), on.withColumnRenamed("cid", "cid_b")
-    pairs = skew_join(a, b, ["code"]).where(F.col("cid_a") < F.col("cid_b")).select("cid_a", "cid_b").distinct()
+    pairs = scratch.keep(skew_join(a, b, ["code"], hot=written_hot_keys(on, ["code"])).where(F.col("cid_a") < F.col("cid_b")).select("cid_a", "cid_b").distinct())
     side = lambda s: texts.select(F.col("cid").alias(f"cid_{s}"), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").select("cid_a", "cid_b", "text_a", "text_b")
+    both = skew_join(skew_join(pairs, side("a"), ["cid_a"], hot=written_hot_keys(pairs, ["cid_a"])), side("b"), ["cid_b"], hot=written_hot_keys(pairs, ["cid_b"])).select("cid_a", "cid_b", "text_a", "text_b")
     span = "array<struct<from:bigint,to:bigint>>"
     return scratch.keep(both.mapInPandas(_verify(length), f"cid_a bigint, cid_b bigint, spans_a {span}, spans_b {span}"))
 

@@ -142,3 +142,19 @@ def test_shorter_spans(spark, seed):
     rows = [(f"R{i}", "".join(rng.choice("abc") for _ in range(50)) + common[rng.randrange(20) :] + "".join(rng.choice("abc") for _ in range(40))) for i in range(8)]
     df = tasks(spark, *[(i, n, t, None, None) for i, (n, t) in enumerate(rows)])
     assert {tuple(r) for r in shared_spans.sharing_routines(df, length=50, window=16).collect()} == shared(rows, 50)
+
+
+def test_hot_keys_change_no_result(spark, monkeypatch):
+    from loomwork.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_LEAST", 4)
+    monkeypatch.setattr(skew, "HOT_SHARE", 30)
+    monkeypatch.setattr(shared_spans, "HOT_LEAST", 4)
+    monkeypatch.setattr(shared_spans, "HOT_SHARE", 30)
+    text = "one and the same boilerplate text over and over again in a third of all records "
+    rows = [(i, "train" if i % 3 else "test", text if i % 2 else f"{text} {i} other words {i * 7} follow here {i * 3}") for i in range(60)]
+    rows += [(100 + i, "train" if i % 2 else "validation", " ".join(f"x{i * j % 17}" for j in range(20))) for i in range(20)]
+    assert found(spark, rows) == expected(rows)
+    spans = [(f"R{i}", (f"{i}" * 30 if i % 4 else "") + text * 3 + f"{i * i}" * 9) for i in range(30)] + [("X", "y" * 300)]
+    df = tasks(spark, *[(i, n, t, None, None) for i, (n, t) in enumerate(spans)])
+    assert {tuple(r) for r in shared_spans.sharing_routines(df).collect()} == shared(spans, 160)
