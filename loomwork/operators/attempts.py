@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 KEY = ["run_id", "condition", "task_id", "attempt"]
 TASK = ["run_id", "condition", "task_id"]
+#: What scoring reads of a record besides its key.
+SCORED = ["operator", "difficulty", "submitted", "assertion", "verifier_calls", "verdict", "harness_error"]
 
 
 def _order() -> F.Column:
@@ -23,10 +25,13 @@ def _order() -> F.Column:
     return F.struct(at.alias("at"), text("started_at").alias("s"), text("seed").alias("d"), text("finished_at").alias("f"), text("verifier_calls").alias("c"), text("model").alias("m"))
 
 
-def first_received(attempts: DataFrame) -> DataFrame:
-    """One row per attempt key, that which arrived first. min_by combines before the shuffle, so no key is hot."""
+def first_received(attempts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per attempt key, that which arrived first, with ``columns`` (all by default).
+
+    min_by combines before the shuffle, so no key is hot; what it carries cannot be pruned later, hence ``columns``.
+    """
     rows = attempts.dropna(subset=KEY)
-    kept = [c for c in rows.columns if c not in KEY]
+    kept = [c for c in (columns or rows.columns) if c not in KEY]
     return rows.groupBy(*KEY).agg(F.min_by(F.struct(*kept), _order()).alias("r")).select(*KEY, "r.*")
 
 

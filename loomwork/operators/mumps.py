@@ -473,3 +473,64 @@ def apply_mutant(source, line, mutated) -> F.Column:
 
 def mutant_survey(rows: DataFrame) -> DataFrame:
     return rows.groupBy("operator").agg(F.count("*").alias("mutants"), F.countDistinct("name").alias("routines"))
+
+
+# ---- labels: flags carried over local calls, and what clean entries reach ----------------------------------------
+LABEL_FACTS = "name string, label string, seq int, formals array<string>, lines int, own_flags array<string>, flags array<string>, blocked_by array<string>, clean boolean, reached boolean"
+
+
+def _line_flags(line: Line) -> set[str]:
+    flags = set()
+    for c in line.commands:
+        span = line.code[c.start : c.end]
+        flags |= {"indirect"} if "@" in span else set()
+        flags |= {"xecute"} if c.verb == "XECUTE" else {"read"} if c.verb == "READ" else {"job"} if c.verb == "JOB" else {"device"} if c.verb in ("OPEN", "USE", "CLOSE") else set()
+        flags |= {f"nondet:${m.group(1).upper()[0]}" for m in re.finditer(r"\$(H|HOROLOG|R|RANDOM|J|JOB)(?=$|[^A-Za-z])", span, re.I) if not (m.group(1).upper()[0] == "J" and span[m.end() : m.end() + 1] == "(")}
+    return flags
+
+
+def label_facts_of(name: str, src: str) -> list[tuple]:
+    """Per label its own flags and those of every label it calls, at any distance, and whether clean entries reach it."""
+    order: list[str] = []
+    at: dict[str, dict] = {}
+    cur = None
+    for line in lex(src):
+        if line.label:
+            cur = line.label
+            if cur not in at:
+                order.append(cur)
+                at[cur] = {"formals": line.formals, "lines": 0, "own": set(), "calls": set()}
+        if cur is None:
+            continue
+        here = at[cur]
+        here["lines"] += bool(line.commands)
+        here["own"] |= _line_flags(line)
+        for c in line.commands:
+            args = line.code[slice(*c.args)] if c.args else ""
+            if c.verb in ("DO", "GOTO"):
+                here["calls"] |= {m.group(1) for a, b in (split_top(args, 0, len(args)) if args else []) if (m := re.match(r"(%?[A-Za-z0-9]+)(?=$|[(:+])", args[a:b]))}
+            here["calls"] |= set(re.findall(r"\$\$(%?[A-Za-z0-9]+)(?!\^)(?=\(|$|[^A-Za-z0-9^])", line.code[c.start : c.end]))
+    reach: dict[str, set[str]] = {}
+    for n in order:
+        seen, todo = {n}, [n]
+        while todo:
+            for m in at[todo.pop()]["calls"]:
+                if m in at and m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        reach[n] = seen
+    flags = {n: sorted(set().union(*(at[m]["own"] for m in reach[n]))) for n in order}
+    blocked = {n: [f for f in flags[n] if re.match(r"nondet:|interactive:|read|device|job|xecute|indirect", f)] for n in order}
+    reached = set().union(*([reach[n] for n in order if at[n]["formals"] is not None and not blocked[n]] or [set()]))
+    return [(name, n, i, at[n]["formals"], at[n]["lines"], sorted(at[n]["own"]), flags[n], blocked[n], not blocked[n], n in reached) for i, n in enumerate(order)]
+
+
+def label_facts(routines: DataFrame) -> DataFrame:
+    """One row per label: flags closed over local calls, what blocks it, whether clean entries with arguments reach it."""
+    return routines.select("name", "source").mapInPandas(_per_routine(label_facts_of, _names(LABEL_FACTS)), LABEL_FACTS)
+
+
+def entry_coverage(labels: DataFrame) -> DataFrame:
+    """(name, coverage): share of a routine's lines with commands that clean entries with arguments reach."""
+    lines = F.sum("lines")
+    return labels.groupBy("name").agg(F.round(F.coalesce(F.try_divide(F.sum(F.when(F.col("reached"), F.col("lines")).otherwise(0)), lines), F.lit(0.0)), 3).alias("coverage"))

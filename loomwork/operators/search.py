@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, tokens
+from ..sources.scratch import Scratch
 
 
 def postings(passages: DataFrame, key: str = "id") -> DataFrame:
@@ -20,25 +21,29 @@ def postings(passages: DataFrame, key: str = "id") -> DataFrame:
     return passages.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def hits(passages: DataFrame, terms: list[str], key: str = "id") -> DataFrame:
-    """(key, term, tf) for the query's terms only."""
+def hits(passages: DataFrame, terms: list[str], key: str = "id", where=None) -> DataFrame:
+    """(key, term, kept, tf) for the query's terms only; ``kept`` says whether ``where`` holds for the passage."""
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     found = F.filter(tokens(F.col("text")), lambda t: F.array_contains(wanted, t))
-    return passages.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    return passages.select(key, kept.alias("kept"), F.explode(found).alias("term")).groupBy(key, "term", "kept").agg(F.count("*").alias("tf"))
 
 
-def term_stats(passages: DataFrame, terms: list[str], key: str = "id") -> DataFrame:
+def term_stats(passages: DataFrame, terms: list[str], key: str = "id", found: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) with idf = ln(1 + N / (1 + df)) over all N passages."""
     total = passages.agg(F.count("*").alias("total"))
-    df = hits(passages, terms, key).groupBy("term").agg(F.count("*").alias("df"))
+    df = (hits(passages, terms, key) if found is None else found).groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(total)).select("term", "df", F.log(1 + F.col("total") / (1 + F.col("df"))).alias("idf"))  # one row
 
 
-def ranked_hits(passages: DataFrame, terms: list[str], key: str = "id", where=None) -> DataFrame:
-    """(key, score): sum of idf (1 + ln tf) per passage that ``where`` keeps; idf stays that of all passages."""
-    stats = term_stats(passages, terms, key)
-    kept = passages if where is None else passages.where(where)
-    scored = hits(kept, terms, key).join(F.broadcast(stats), "term")  # one row per query term
+def ranked_hits(passages: DataFrame, terms: list[str], key: str = "id", where=None, scratch: Scratch | None = None) -> DataFrame:
+    """(key, score): sum of idf (1 + ln tf) per passage that ``where`` keeps; idf stays that of all passages.
+
+    Hits are written once, so that texts are scanned once for frequencies and scores together.
+    """
+    found = (scratch or Scratch(passages.sparkSession)).keep(hits(passages, terms, key, where))
+    stats = term_stats(passages, terms, key, found)
+    scored = found.where("kept").join(F.broadcast(stats), "term")  # one row per query term
     return scored.groupBy(key).agg(F.round(F.sum(F.col("idf") * (1 + F.log("tf"))), 6).alias("score"))
 
 

@@ -8,8 +8,8 @@ from ..operators import attempts as a
 from ..sources.tables import table
 
 
-def _records(spark, d):
-    return a.first_received(table(spark, d, "attempts"))
+def _records(spark, d, *more):
+    return a.first_received(table(spark, d, "attempts"), [*a.SCORED, *more])
 
 
 def _tasks(spark, d):
@@ -26,7 +26,7 @@ QUERIES = {
     "by_operator_difficulty": lambda s, d: a.breakdown(_tasks(s, d)),
     "common_tasks": lambda s, d: a.common_tasks(_tasks(s, d)),
     "bounded_repair": lambda s, d: a.bounded_repair(_records(s, d), 3),
-    "progress_snapshot": lambda s, d: a.progress(_records(s, d)),
+    "progress_snapshot": lambda s, d: a.progress(_records(s, d, "started_at", "finished_at")),
     "attempts_until_done": lambda s, d: a.until_done(_records(s, d)).groupBy("run_id", "condition").agg(F.count("*").alias("attempts"), F.count_if("passed").alias("passed")),
     "model_by_operator": lambda s, d: _records(s, d).where(F.col("operator").isNotNull()).groupBy("operator").pivot("difficulty", ["easy", "medium", "hard"]).count().na.fill(0),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs
 from ..operators import attempts, cases, mumps, ranking
+from ..operators.search import union_all
 from ..sources.tables import table
 from .attempt_queries import _RECORDS
 from .routine_queries import _routines
@@ -16,7 +17,7 @@ def _tasks(s, d):
 
 
 def _gates(s, d):
-    a = attempts.first_received(table(s, d, "attempts"))
+    a = attempts.first_received(table(s, d, "attempts"), ["model"])
     t = table(s, d, "mutation_tasks")
     train = t.where("lower(trim(split)) = 'train'").select("task_id").distinct()
     return cases.gates({
@@ -31,7 +32,10 @@ def _gates(s, d):
 def _qa_calls(s, d):
     f = mumps.routine_facts(_routines(s, d)).where("error IS NULL")
     q = lambda source, text, col: f.where(F.size(col) > 0).select("name", F.lit(source).alias("source"), F.concat(F.lit(text), "name", F.lit("?")).alias("question"), F.array_join(F.slice(col, 1, 12), ", ").alias("answer"))
-    return q("call_graph", "Which routines are called by ", "calls").unionByName(q("globals", "Which globals are written by ", "globals_written")).unionByName(q("globals", "Which globals are read by ", "globals_read"))
+    naked = mumps.naked_references(_routines(s, d)).where(F.col("resolved").isNotNull())
+    idiom = naked.select("name", F.lit("idiom").alias("source"), F.concat(F.lit("What does "), "raw", F.lit(" mean on line "), F.col("line").cast("string"), F.lit(" of "), "name", F.lit("?")).alias("question"), F.col("resolved").alias("answer"))
+    parts = [q("call_graph", "Which routines are called by ", "calls"), q("globals", "Which globals are written by ", "globals_written"), q("globals", "Which globals are read by ", "globals_read"), idiom]
+    return union_all(parts)
 
 
 def _vary(s, d):
@@ -42,12 +46,12 @@ def _vary(s, d):
 
 
 QUERIES = {
-    "trace_summary": lambda s, d: attempts.judged(attempts.first_received(table(s, d, "attempts"))).groupBy("condition").agg(F.count("*").alias("records"), F.countDistinct("task_id").alias("tasks"), F.count_if(F.col("excluded") == "void").alias("void"), F.count_if(F.col("excluded") == "ungraded").alias("ungraded"), F.count_if(F.col("excluded") == "harness_error").alias("harness_error")),
+    "trace_summary": lambda s, d: attempts.judged(attempts.first_received(table(s, d, "attempts"), attempts.SCORED)).groupBy("condition").agg(F.count("*").alias("records"), F.countDistinct("task_id").alias("tasks"), F.count_if(F.col("excluded") == "void").alias("void"), F.count_if(F.col("excluded") == "ungraded").alias("ungraded"), F.count_if(F.col("excluded") == "harness_error").alias("harness_error")),
     "report_gates": _gates,
     "best_per_group": lambda s, d: cases.best_of(_tasks(s, d), ["operator"], [F.desc_nulls_last("n_diverged"), F.col("task_no")], 3).select("operator", "place", "task_no", "n_diverged"),
     "capped_admission": lambda s, d: cases.capped(_tasks(s, d).withColumn("routine", F.coalesce("routine", F.lit(""))), ["routine"], ["task_no"], F.coalesce(F.col("n_diverged") > 2, F.lit(False)), 2).groupBy("routine").agg(F.count("*").alias("tried")),
     "until_target": lambda s, d: cases.until_target(_tasks(s, d).where("routine IS NOT NULL").groupBy("routine").agg(F.count_if(F.col("n_diverged") > 2).alias("gain")), ["routine"], "gain", 50),
-    "fill_blank": lambda s, d: cases.fill_blank(attempts.first_received(table(s, d, "attempts")).select("run_id", "condition", "task_id", "attempt", "operator"), _tasks(s, d).select("task_id", "operator"), "task_id", ["operator"]),
+    "fill_blank": lambda s, d: cases.fill_blank(attempts.first_received(table(s, d, "attempts"), ["operator"]).select("run_id", "condition", "task_id", "attempt", "operator"), _tasks(s, d).select("task_id", "operator"), "task_id", ["operator"]),
     "first_difference": lambda s, d: _tasks(s, d).where("original_line IS NOT NULL AND mutated_line IS NOT NULL").select("task_no", refs.first_difference(F.col("original_line"), F.col("mutated_line")).alias("at_place")),
     "safe_refs": lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("^ORD("), "o_orderkey", F.lit(")"))).when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('^ORD("a""b",'), "o_orderkey", F.lit(",0)"))).when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("^ORD(X"), "o_orderkey", F.lit(")"))).when(F.col("o_orderkey") % 5 == 3, F.lit("^ORD")).alias("ref")).select("o_orderkey", refs.safe_ref(F.col("ref"), ("XTMP",)).alias("safe")),
     "call_questions": _qa_calls,

@@ -38,6 +38,8 @@ QUERIES = {
     "lexed_lines": lambda s, d: mumps.lexed_lines(_routines(s, d)).select("name", "line", "label", "level", F.size("commands").alias("commands"), "code"),
     "command_histogram": lambda s, d: mumps.lexed_lines(_routines(s, d)).select(F.explode("commands").alias("c")).groupBy(F.col("c.verb").alias("verb")).agg(F.count("*").alias("n")),
     "local_vars": lambda s, d: mumps.local_variables(_routines(s, d)),
+    "label_flags": lambda s, d: mumps.label_facts(_routines(s, d)),
+    "entry_coverage": lambda s, d: mumps.entry_coverage(mumps.label_facts(_routines(s, d))),
     "naked_refs": lambda s, d: mumps.naked_references(_routines(s, d)),
     "mutants": lambda s, d: mumps.mutants(_routines(s, d)),
     "mutant_survey": lambda s, d: mumps.mutant_survey(mumps.mutants(_routines(s, d))),

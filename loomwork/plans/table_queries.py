@@ -77,7 +77,7 @@ def _admit(s, d):
 
 
 def _log(s, d):
-    e = table(s, d, "events").where("user_id % 2 = 0")
+    e = table(s, d, "events")
     kind = F.when(F.col("event_type") == "view", "candidate").when(F.col("event_type") == "click", "verdict").otherwise("tool_call")
     return e.select(F.col("user_id").alias("run_id"), F.lit("c").alias("condition"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 5).alias("attempt"))
 
@@ -133,7 +133,7 @@ SQL = {
         e AS (SELECT *, CASE WHEN name IS NULL OR name NOT IN (SELECT upper(name) FROM parsed_routines WHERE name IS NOT NULL AND repo IS NOT NULL) THEN 'off_split' WHEN coalesce(n_diverged, 0) < 2 THEN 'no_case_separates' END AS early FROM t),
         f AS (SELECT *, min(task_no) FILTER (early IS NULL) OVER (PARTITION BY name, mutated_src) AS first FROM e)
         SELECT coalesce(early, CASE WHEN task_no > first THEN 'duplicate_mutant' END, 'admitted') AS verdict, count(*) AS tasks FROM f GROUP BY 1""",
-    "event_log_fold": """WITH l AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'candidate' WHEN 'click' THEN 'verdict' ELSE 'tool_call' END AS kind, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS attempt FROM events WHERE user_id % 2 = 0),
+    "event_log_fold": """WITH l AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'candidate' WHEN 'click' THEN 'verdict' ELSE 'tool_call' END AS kind, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS attempt FROM events),
         o AS (SELECT *, last_value(CASE WHEN kind = 'candidate' THEN seq END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq) AS latest, last_value(CASE WHEN kind = 'candidate' THEN seq END IGNORE NULLS) OVER (PARTITION BY run_id, attempt ORDER BY seq) AS same FROM l),
         w AS (SELECT kind, CASE kind WHEN 'verdict' THEN coalesce(CASE WHEN attempt IS NOT NULL THEN same END, latest) WHEN 'tool_call' THEN latest ELSE seq END AS owner FROM o)
         SELECT kind, count(owner) AS owned, CAST(sum(owner) AS BIGINT) AS owners, count(*) AS n FROM w GROUP BY 1""",

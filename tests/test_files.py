@@ -149,3 +149,13 @@ def test_rewards(spark):
     df = spark.createDataFrame(rows, "candidate string, error string, equivalent boolean, n_cases int, n_diverged int, n_void int")
     assert [r["reward"] for r in training.reward(df, True).collect()] == [1.0, 0.75, 0.0, 0.0, 0.0]
     assert [r["reward"] for r in training.reward(df, False).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_label_flags_close_over_local_calls(spark):
+    src = "R ;x\n Q\nA(X) D B Q\nB S Y=$$C(1) Q\nC(Z) R Z Q Z\nD(W) S V=$J(W,3) D E(W) Q\nE(W) Q\nF S X=@W Q\n"
+    got = {r["label"]: r for r in mumps.label_facts(spark.createDataFrame([("R", src), ("N", None), ("E", "")], "name string, source string")).collect()}
+    assert {k: (r["flags"], r["clean"], r["reached"]) for k, r in got.items()} == {
+        "R": ([], True, False), "A": (["read"], False, False), "B": (["read"], False, False), "C": (["read"], False, False), "D": ([], True, True), "E": ([], True, True), "F": (["indirect"], False, False),
+    }
+    cov = mumps.entry_coverage(mumps.label_facts(spark.createDataFrame([("R", src)], "name string, source string"))).first()
+    assert cov["coverage"] == round(2 / 7, 3)
