@@ -36,12 +36,12 @@ def author_name(author) -> F.Column:
 
 
 def distinct_tasks(tasks: DataFrame) -> DataFrame:
-    """One row per task_no: its routine and author as they compare. Tasks without number are left out."""
+    """One row per task_no: its routine and author as they compare. Tasks without number are left out; one with neither routine nor task_id is its own entity, ``#`` and its number."""
     return (
         tasks.where(F.col("task_no").isNotNull())
         .groupBy("task_no")
         .agg(F.min(F.struct(routine_name(F.col("routine"), F.col("task_id")).alias("name"), author_name(F.col("author")).alias("who"))).alias("v"))
-        .select("task_no", F.coalesce("v.name", F.lit("")).alias("name"), "v.who")
+        .select("task_no", F.coalesce("v.name", F.concat(F.lit("#"), F.col("task_no").cast("string"))).alias("name"), "v.who")
     )
 
 

@@ -139,7 +139,7 @@ def learn(documents: DataFrame, sample: int = SAMPLE, ratio: float = RATIO) -> F
     parts = []
     for code, names in spelled.items():
         for text, lang in (("text", "lang"), ("text_tgt", "lang_tgt")):
-            ids = documents.where(F.col(lang).isin(names) & F.col(text).isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+            ids = documents.where(F.col(lang).isin(names)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
             parts.append(ids.select("doc_id", F.lit(code).alias("code"), F.lit(text).alias("side")))
     if not parts:
         return Filters([])

@@ -54,7 +54,7 @@ def python_lexer_fault(src: str) -> tuple[int, str] | None:
 
 def python_fault(src: str) -> tuple[int, str] | None:
     """The lexer names the fault; the compiler's grammar has the last word, so that no odd but valid file is flagged."""
-    text = src.replace("\r\n", "\n").replace("\r", "\n")
+    text = src.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     seen = python_lexer_fault(text)
     try:
         with warnings.catch_warnings():
@@ -110,7 +110,7 @@ def json_fault(src: str) -> tuple[int, str] | None:
 
 def python_functions(src: str):
     """Functions of a valid file: dicts of name, kind, formals, line, body and comments at their places."""
-    text = src.replace("\r\n", "\n").replace("\r", "\n")
+    text = src.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(text)
