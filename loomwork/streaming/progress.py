@@ -33,6 +33,16 @@ def run_now(df: DataFrame, name: str, mode: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def table_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int = 8) -> DataFrame:
+    """A Parquet table as a stream; its schema comes from the footers."""
+    path = f"{directory}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(directory)  # a stream reads folders, not single files
+
+
 def append(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Appends a stream to Parquet exactly once per input file."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
