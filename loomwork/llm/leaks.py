@@ -7,8 +7,8 @@ then all of the item's terms, and runs of n or more hits are the exact phrases.
 at nearly one alignment.
 
 Words are runs of letters or digits after NFC and case folding. Terms are 64-bit hashes of words.
-Defined results: null and empty texts hold no words; an item of fewer than n words matches nothing; repeated items and
-documents match once. A phrase whose rarest term is frequent gives many alignments, never fewer than all.
+Defined results: null and empty texts hold no words; an item of fewer than n words matches nothing; repeated items
+and documents match once, and of several texts of one item the greatest counts. A phrase whose rarest term is frequent gives many alignments, never fewer than all.
 """
 
 from __future__ import annotations
@@ -79,7 +79,8 @@ class PhraseIndex:
 
     def item_tokens(self, items: DataFrame) -> DataFrame:
         """(item_id, at, term, freq): an item's words in order, with their number of postings."""
-        tokens = self.scratch.keep(positional_index(items, "item_id").distinct().withColumnRenamed("pos", "at"))
+        once = items.where(F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+        tokens = self.scratch.keep(positional_index(once, "item_id").withColumnRenamed("pos", "at"))
         terms = bounded(tokens.select("term").distinct())
         freq = self.scratch.keep(self.postings.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq")))
         return self.scratch.keep(tokens.join(bounded(freq), "term", "left").select("item_id", "at", "term", F.coalesce("freq", F.lit(0)).alias("freq")))
