@@ -6,7 +6,7 @@ no theta join meets the data; the dictionary side is joined by shuffle unless it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fileman_date
@@ -111,3 +111,25 @@ def parse_dump(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
 def field_order(fields: DataFrame) -> DataFrame:
     """Fields by numeric value, those that are no numbers last."""
     return fields.orderBy(F.col("field").try_cast("double").asc_nulls_last(), "field")
+
+
+def resolve(wanted: DataFrame, roots: DataFrame, fields: DataFrame, samples: DataFrame, most: int = 3) -> DataFrame:
+    """(ref, file, record, node, layout, samples, notes): what a reference stands for.
+
+    The longest root gives the file, the subscripts after it the record and the node; ``layout`` lists the node's
+    fields by position; ``samples`` are up to ``most`` stored values, that of the very reference first, then others of
+    the same file and node. ``notes`` say what is missing.
+    """
+    placed = longest_root(wanted.select("ref").distinct(), roots).withColumn("subs", subscripts(F.coalesce("rest", F.lit(""))))
+    at = placed.select("ref", "file", F.get("subs", F.lit(0)).alias("record"), F.get("subs", F.lit(1)).alias("node"), F.size("subs").alias("depth"))
+    by_node = fields.where(F.col("position").isNotNull()).groupBy("file", "node").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("layout"))  # a node's own fields
+    known = longest_root(samples.select("ref", "value"), roots).withColumn("subs", subscripts(F.coalesce("rest", F.lit("")))).select(F.col("ref").alias("sample_ref"), "value", "file", F.get("subs", F.lit(1)).alias("node"))
+    # At most ``most`` samples of a node travel, and the exact one apart from them.
+    w = Window.partitionBy("file", "node").orderBy("sample_ref")
+    few = known.where(F.col("file").isNotNull()).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).groupBy("file", "node").agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("same"))
+    exact = known.select(F.col("sample_ref").alias("ref"), "value").groupBy("ref").agg(F.max("value").alias("exact"))
+    j = skew_join(skew_join(at, by_node, ["file", "node"], "left"), few, ["file", "node"], "left").join(exact, "ref", "left")
+    same = F.transform(F.coalesce("same", F.array().cast("array<struct<rn:int,value:string>>")), lambda x: x["value"])
+    shown = F.slice(F.array_distinct(F.array_compact(F.concat(F.array("exact"), same))), 1, most)
+    notes = F.array_compact(F.array(F.when(F.col("file").isNull(), "no file has this root"), F.when(F.col("file").isNotNull() & F.col("layout").isNull(), "no field on this node"), F.when(F.col("exact").isNull(), "no stored value of its own"), F.when(F.col("depth") > 2, "deeper than one multiple")))
+    return j.select("ref", "file", "record", "node", "layout", shown.alias("samples"), notes.alias("notes"))

@@ -534,3 +534,53 @@ def entry_coverage(labels: DataFrame) -> DataFrame:
     """(name, coverage): share of a routine's lines with commands that clean entries with arguments reach."""
     lines = F.sum("lines")
     return labels.groupBy("name").agg(F.round(F.coalesce(F.try_divide(F.sum(F.when(F.col("reached"), F.col("lines")).otherwise(0)), lines), F.lit(0.0)), 3).alias("coverage"))
+
+
+# ---- uses of variables in order, and what native windows say about them -------------------------------------------
+USES = "name string, label string, line int, at int, variable string, written boolean, sure boolean"
+
+
+def variable_uses(routines: DataFrame) -> DataFrame:
+    """Every read and write of a local or global variable, in order of place; ``sure`` where no condition guards it.
+
+    A SET reads its right sides before it writes its targets.
+    """
+
+    def one(n, s):
+        out, label = [], n
+        for line in lex(s):
+            label = line.label or label
+            guarded = line.level > 0
+            for c in line.commands:
+                guarded |= c.verb in ("IF", "ELSE", "FOR") or c.cond is not None and c.verb in ("QUIT", "GOTO")
+                if not c.args or c.verb in ("DO", "GOTO", "JOB", "NEW"):
+                    continue
+                targets = {("^" if g else "") + t for t, g in set_targets(line, c)} if c.verb in ("SET", "FOR") else set()
+                text = re.sub(r"\?[0-9.]*[A-Za-z0-9.]*", lambda m: " " * len(m.group()), line.code[slice(*c.args)])
+                seen = set()
+                for m in re.finditer(r"(?<![$A-Za-z0-9%^])\^?%?[A-Za-z][A-Za-z0-9]*", text):
+                    if m.group() in targets and m.group() not in seen:
+                        seen.add(m.group())
+                        out.append((n, label, line.number, c.args[1], m.group(), True, not guarded and c.cond is None))
+                    else:
+                        written = c.verb in ("READ", "KILL")
+                        out.append((n, label, line.number, c.args[0] + m.start(), m.group(), written, not guarded and c.cond is None))
+        return out
+
+    return routines.select("name", "source").mapInPandas(_per_routine(one, _names(USES)), USES)
+
+
+def reassigned_later(uses: DataFrame) -> DataFrame:
+    """Writes with ``again``: whether a later place of the same label writes the variable too."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("name", "label", "variable").orderBy("line", "at").rowsBetween(1, Window.unboundedFollowing)
+    return uses.where("written").withColumn("again", F.coalesce(F.max(F.lit(True)).over(w), F.lit(False)))
+
+
+def reaching_writes(uses: DataFrame) -> DataFrame:
+    """Reads with ``from_line``: the last unconditional write of the variable before them in the label, or null."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("name", "label", "variable").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, -1)
+    return uses.withColumn("from_line", F.last(F.when(F.col("written") & F.col("sure"), F.col("line")), ignorenulls=True).over(w)).where(~F.col("written"))

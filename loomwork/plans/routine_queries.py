@@ -40,6 +40,8 @@ QUERIES = {
     "local_vars": lambda s, d: mumps.local_variables(_routines(s, d)),
     "label_flags": lambda s, d: mumps.label_facts(_routines(s, d)),
     "entry_coverage": lambda s, d: mumps.entry_coverage(mumps.label_facts(_routines(s, d))),
+    "reassigned": lambda s, d: mumps.reassigned_later(mumps.variable_uses(_routines(s, d))).groupBy("name").agg(F.count("*").alias("writes"), F.count_if("again").alias("again")),
+    "reaching_writes": lambda s, d: mumps.reaching_writes(mumps.variable_uses(_routines(s, d))).groupBy("name").agg(F.count("*").alias("reads"), F.count("from_line").alias("reached")),
     "naked_refs": lambda s, d: mumps.naked_references(_routines(s, d)),
     "mutants": lambda s, d: mumps.mutants(_routines(s, d)),
     "mutant_survey": lambda s, d: mumps.mutant_survey(mumps.mutants(_routines(s, d))),

@@ -159,3 +159,23 @@ def test_label_flags_close_over_local_calls(spark):
     }
     cov = mumps.entry_coverage(mumps.label_facts(spark.createDataFrame([("R", src)], "name string, source string"))).first()
     assert cov["coverage"] == round(2 / 7, 3)
+
+
+def test_variable_uses(spark):
+    src = "R ;x\nA S X=Y,X=X+1\n I X S Z=1\n W Z,X\n S X=2\n"
+    uses = mumps.variable_uses(spark.createDataFrame([("R", src)], "name string, source string"))
+    again = {(r["line"], r["variable"], r["again"]) for r in mumps.reassigned_later(uses).collect()}
+    assert (2, "X", True) in again and (5, "X", False) in again and (3, "Z", False) in again
+    reads = {(r["line"], r["variable"]): r["from_line"] for r in mumps.reaching_writes(uses).collect()}
+    assert reads[4, "X"] == 2 and reads[4, "Z"] is None and reads[2, "Y"] is None
+
+
+def test_resolve(spark):
+    roots = spark.createDataFrame([("^DPT(", "2")], "root string, file string")
+    fields = spark.createDataFrame([("2", "0", 2, "SEX"), ("2", "0", 1, "NAME"), ("2", ".11", None, "X")], "file string, node string, position int, name string")
+    samples = spark.createDataFrame([("^DPT(1,0)", "A^M"), ("^DPT(3,0)", "C^F"), ("^ZZ(1)", "q")], "ref string, value string")
+    got = {r["ref"]: r for r in dictionary.resolve(spark.createDataFrame([("^DPT(3,0)",), ("^DPT(9,.3)",), ("^ZZ(1)",)], "ref string"), roots, fields, samples).collect()}
+    r = got["^DPT(3,0)"]
+    assert (r["file"], r["record"], r["node"], r["samples"], r["notes"]) == ("2", "3", "0", ["C^F", "A^M"], []) and [x["name"] for x in r["layout"]] == ["NAME", "SEX"]
+    assert got["^DPT(9,.3)"]["notes"] == ["no field on this node", "no stored value of its own"]
+    assert got["^ZZ(1)"]["notes"] == ["no file has this root"] and got["^ZZ(1)"]["samples"] == ["q"]
