@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import skew_join
+from ..sources.scratch import Scratch
+from .skew import running_total, skew_join
 
 
 def by_precedence(sources: list[DataFrame], key: str, order: str) -> DataFrame:
@@ -79,10 +80,10 @@ def capped(rows: DataFrame, group: list[str], order: list[str], admitted: F.Colu
     return rows.withColumn("_b", before).where(F.col("_b") < most).drop("_b")
 
 
-def until_target(groups: DataFrame, order: list[str], gain: str, target: int) -> DataFrame:
+def until_target(groups: DataFrame, order: list[str], gain: str, target: int, scratch: Scratch | None = None) -> DataFrame:
     """Groups in order while the gains of those before them stay below ``target``; ``groups`` has one row per group."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("_b", F.coalesce(F.sum(gain).over(w), F.lit(0))).where(F.col("_b") < target).drop("_b")
+    run = running_total(groups, order, F.col(gain), "_run", scratch or Scratch(groups.sparkSession))
+    return run.where(F.col("_run") - F.coalesce(gain, F.lit(0)) < target).drop("_run")
 
 
 def best_of(rows: DataFrame, group: list[str], order: list[F.Column], k: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from .skew import ranked  # noqa: F401  (ranks without one task per group)
+from ..sources.scratch import Scratch
+from .skew import running_total
 
 
 def reasons(facts: DataFrame, rules: dict[str, F.Column]) -> DataFrame:
@@ -26,17 +27,9 @@ def additive_score(facts: DataFrame, parts: dict[str, F.Column], base: float = 0
     return facts.withColumn("components", components).withColumn("score", total)
 
 
-def global_rank(scored: DataFrame, by: str = "score", key: str = "name") -> DataFrame:
-    """Adds ``rank`` from 1 by descending score, then key, from counts of better scores: no single-task window.
-
-    Ranks within equal scores come from windows over one score, the number of better rows from distinct scores.
-    """
-    from pyspark.sql import Window
-
-    counts = scored.groupBy(by).agg(F.count("*").alias("_n"))
-    better = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy(by).orderBy(key)
-    return scored.withColumn("_r", F.row_number().over(inner)).join(better.select(by, "_before"), by).withColumn("rank", F.col("_r") + F.col("_before")).drop("_r", "_before")
+def global_rank(scored: DataFrame, by: str = "score", key: str = "name", scratch: Scratch | None = None) -> DataFrame:
+    """Adds ``rank`` from 1 by descending score, then key, over range-sorted parts instead of one task."""
+    return running_total(scored, [F.desc(by), F.col(key)], F.lit(1), "rank", scratch or Scratch(scored.sparkSession))
 
 
 def density(sources: DataFrame, pattern: str, key: str = "name", text: str = "source") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 #: A key is hot when it holds more than one in HOT_SHARE of a side's rows; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 200
 #: Rows under which no key is worth splitting.
@@ -66,3 +68,17 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, buckets:
         .withColumn(out, (F.col("_r") + F.col("_shift")).cast("long"))
         .drop("_h", "_b", "_r", "_shift")
     )
+
+
+def running_total(df: DataFrame, order: list, value, out: str, scratch: Scratch) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row in one global order, without one task for all rows.
+
+    Rows are range-sorted and written with their range's number; sums within a range shift by those of ranges before
+    it. ``order`` must name a key of the rows for a deterministic result. Null values count as 0.
+    """
+    ranged = df.withColumn("_v", F.coalesce(value, F.lit(0))).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    kept = scratch.keep(ranged)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = kept.groupBy("_p").agg(F.sum("_v").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))  # one row per range
+    within = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn("_run", F.sum("_v").over(within)).join(F.broadcast(shifts), "_p").withColumn(out, F.col("_run") + F.col("_shift")).drop("_v", "_p", "_run", "_shift")

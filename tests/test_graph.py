@@ -114,3 +114,14 @@ def test_components_with_hot_authors(spark, monkeypatch):
     pairs = [(f"n{i:03}", "everyone") for i in range(0, 200, 2)] + [(f"n{rng.randrange(200):03}", f"w{rng.randrange(150)}") for _ in range(120)]
     got = graph.components(spark.createDataFrame(pairs, "name string, who string"), Scratch(spark))
     assert {r["name"]: r["unit"] for r in got.collect()} == union_find(pairs)
+
+
+def test_running_total_over_many_ranges(spark):
+    rng = random.Random(1)
+    rows = [(f"k{i:04}", rng.choice([None, 0, 1, 5])) for i in range(1500)]
+    got = skew.running_total(spark.createDataFrame(rows, "k string, v int").repartition(7), ["k"], F.col("v"), "run", Scratch(spark)).collect()
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        total += v or 0
+        want[k] = total
+    assert {r["k"]: r["run"] for r in got} == want
