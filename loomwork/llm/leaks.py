@@ -65,8 +65,9 @@ def positional_index(texts: DataFrame, key: str) -> DataFrame:
     return need.mapInPandas(_postings(key), f"{key} bigint, term bigint, pos int")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if it is shown to have no more than ``rows`` rows, else as it is."""
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` to be broadcast if it is shown to have no more than ``rows`` (BROADCAST_ROWS) rows, else as it is."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -93,6 +93,19 @@ def test_leaks_against_brute_force(spark):
     assert leaks.PhraseIndex(docs(spark, *rows).limit(0)).phrases(it).count() == 0
 
 
+def test_leaks_without_broadcasts_and_with_hot_terms(spark, monkeypatch):
+    from loomwork.operators import skew
+
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_LEAST", 5)
+    monkeypatch.setattr(skew, "HOT_SHARE", 50)
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"x{i} {passage if i % 3 else passage.upper()[:70]} y", None) for i in range(60)]
+    it = spark.createDataFrame([(1, passage, None, "s"), (1, passage, None, "s"), (2, "other words " * 10, None, "s")], "item_id bigint, text string, lang string, suite string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.PhraseIndex(docs(spark, *rows)).phrases(it).collect()}
+    assert got == {(i, 1) for i in range(60)}
+
+
 SAID = {
     "en": "The teacher of the school found the large box near the river in the spring and closed the door before lunch.",
     "de": "Der Lehrer der Schule fand die große Kiste neben dem Fluss im Frühling und schloss die Tür vor dem Mittagessen.",
