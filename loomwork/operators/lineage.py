@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import code_part, lines, masked
 from ..sources.scratch import Scratch
 from .graph import pair_components
-from .skew import skew_join
+from .skew import skew_join, written_hot_keys
 
 
 def code_shingles(sources: DataFrame, key: str = "name", text: str = "source") -> DataFrame:
@@ -18,21 +18,72 @@ def code_shingles(sources: DataFrame, key: str = "name", text: str = "source") -
     return rows.select(key, bare.alias("line")).where("line <> ''").distinct()
 
 
-def line_pairs(shingles: DataFrame, key: str = "name", least: int = 8, long: int = 25, most_owners: int = 25, threshold: float = 0.6) -> DataFrame:
-    """(a, b, shared, similarity): keys with ``least`` lines or more whose Jaccard similarity reaches ``threshold``.
+def line_classes(shingles: DataFrame, key: str = "name", least: int = 8, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): members (key, rep), sets (rep, ls) of the keys with ``least`` lines or more.
 
-    Candidates share a line longer than ``long`` that 2 to ``most_owners`` keys have. The band of owners is part of
-    the definition; it also bounds a line's pairs, so no line fills one task. Similarity is over all lines.
+    Keys with equal sets of lines (by md5 of the sorted lines, which hold no line break) are one class, named by its
+    least key. All further work is on classes, so copies cost a row each and not a pair each.
     """
-    sizes = shingles.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    kept = shingles.join(sizes, key)
-    owners = kept.where(F.length("line") > long).groupBy("line").agg(F.count("*").alias("owners")).where(F.col("owners").between(2, most_owners)).select("line")
-    rare = kept.where(F.length("line") > long).join(owners, "line", "left_semi").select("line", key)
-    pairs = rare.withColumnRenamed(key, "a").join(rare.withColumnRenamed(key, "b"), "line").where("a < b").select("a", "b").distinct()
-    sets = kept.groupBy(key).agg(F.collect_list("line").alias("ls"))  # a source's own lines
-    j = pairs.join(sets.select(F.col(key).alias("a"), F.col("ls").alias("la")), "a").join(sets.select(F.col(key).alias("b"), F.col("ls").alias("lb")), "b")
-    shared = F.size(F.array_intersect("la", "lb"))
-    return j.select("a", "b", shared.alias("shared"), F.round(shared / (F.size("la") + F.size("lb") - shared), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    scratch = scratch or Scratch(shingles.sparkSession)
+    own = shingles.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("line").alias("ls")).where(F.size("ls") >= least)
+    own = scratch.keep(own.withColumn("sig", F.md5(F.array_join(F.array_sort("ls"), "\n"))))
+    reps = own.groupBy("sig").agg(F.min(key).alias("rep"))
+    sets = own.join(reps.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("rep"), "ls")
+    members = skew_join(own.select("sig", key), reps, ["sig"], hot=written_hot_keys(own, ["sig"])).select(key, "rep")
+    return scratch.keep(members), scratch.keep(sets)
+
+
+def similar_sets(sets: DataFrame, threshold: float = 0.6, scratch: Scratch | None = None) -> DataFrame:
+    """(rep_a, rep_b, shared, similarity), rep_a < rep_b: different sets whose Jaccard similarity reaches ``threshold``.
+
+    Lines have one global order, rarest first. Two similar sets share a line among the first n - ceil(t n) + 1 of
+    each, and at the first line they share enough lines follow in both: so no pair is lost, however many keys a line
+    has. Lines join by 64-bit hashes; the pairs are verified on the lines.
+    """
+    scratch = scratch or Scratch(sets.sparkSession)
+    rows = scratch.keep(sets.select("rep", F.size("ls").alias("n"), F.explode(F.transform("ls", lambda x: F.xxhash64(x))).alias("h")))
+    owners = rows.groupBy("h").agg(F.count("*").alias("owners")).where("owners > 1")  # the others come first and meet nothing
+    met = skew_join(rows, owners, ["h"], hot=written_hot_keys(rows, ["h"])).groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("owners", "h"))).alias("alive"))
+    alone = F.col("n") - F.size("alive")
+    lead = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    blocks = met.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("alive", 1, lead)).alias("at", "x"))
+    blocks = scratch.keep(blocks.select("rep", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("x.h").alias("h")))
+    side = lambda to: blocks.select("h", *[F.col(c).alias(c + to) for c in ("rep", "n", "left")])
+    able = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    near = skew_join(side("_a"), side("_b"), ["h"], hot=written_hot_keys(blocks, ["h"])).where((F.col("rep_a") < F.col("rep_b")) & able)
+    near = scratch.keep(near.select("rep_a", "rep_b").distinct())
+    of = lambda to: sets.select(F.col("rep").alias("rep" + to), F.col("ls").alias("ls" + to))
+    j = skew_join(skew_join(near, of("_a"), ["rep_a"], hot=written_hot_keys(near, ["rep_a"])), of("_b"), ["rep_b"], hot=written_hot_keys(near, ["rep_b"]))
+    shared = F.size(F.array_intersect("ls_a", "ls_b"))
+    alike = shared / (F.size("ls_a") + F.size("ls_b") - shared)
+    return scratch.keep(j.select("rep_a", "rep_b", shared.alias("shared"), alike.alias("similarity")).where(F.col("similarity") >= threshold))
+
+
+def line_pairs(shingles: DataFrame, key: str = "name", least: int = 8, threshold: float = 0.6, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b, shared, similarity): all keys with ``least`` lines or more whose Jaccard similarity reaches ``threshold``.
+
+    A class of m copies has m (m - 1) / 2 pairs; where only clusters are asked for, ``line_links`` gives fewer rows.
+    """
+    scratch = scratch or Scratch(shingles.sparkSession)
+    members, sets = line_classes(shingles, key, least, scratch)
+    alike = similar_sets(sets, threshold, scratch)
+    hot = written_hot_keys(members, ["rep"])
+    of = lambda to: members.select(F.col("rep").alias("rep" + to), F.col(key).alias("k" + to))
+    across = skew_join(of("_b"), skew_join(of("_a"), alike, ["rep_a"], hot=hot), ["rep_b"], hot=hot).select("k_a", "k_b", "shared", F.round("similarity", 6).alias("similarity"))
+    copies = members.groupBy("rep").agg(F.count("*").alias("copies")).where("copies > 1").select("rep")
+    same = members.join(copies, "rep", "left_semi").select("rep", F.col(key).alias("k_a"))
+    sizes = sets.select("rep", F.size("ls").alias("shared"))
+    within = skew_join(skew_join(same, sizes, ["rep"], hot=hot), members.select("rep", F.col(key).alias("k_b")), ["rep"], hot=hot).where("k_a < k_b")
+    both = across.unionByName(within.select("k_a", "k_b", "shared", F.lit(1.0).alias("similarity")))
+    return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "shared", "similarity")
+
+
+def line_links(shingles: DataFrame, key: str = "name", least: int = 8, threshold: float = 0.6, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b): similar keys that tie together the same clusters as all of ``line_pairs``; copies meet in their class's least."""
+    scratch = scratch or Scratch(shingles.sparkSession)
+    members, sets = line_classes(shingles, key, least, scratch)
+    copies = members.where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"))
+    return copies.unionByName(similar_sets(sets, threshold, scratch).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
 
 def clusters(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -31,8 +31,12 @@ def _pairs(s, d):
     return lineage.line_pairs(lineage.code_shingles(_routines(s, d)))
 
 
+def _clusters(s, d):
+    return lineage.clusters(lineage.line_links(lineage.code_shingles(_routines(s, d))))
+
+
 def _units(s, d):
-    return lineage.units(_routines(s, d).select(F.col("name").cast("string")), lineage.clusters(_pairs(s, d)))
+    return lineage.units(_routines(s, d).select(F.col("name").cast("string")), _clusters(s, d))
 
 
 def _bfs(s, d):
@@ -49,7 +53,7 @@ QUERIES = {
     "callee_facts": lambda s, d: graph.callee_facts(graph.reach_pairs(_edges(s, d), 2), _facts(s, d)),
     "line_shingles": lambda s, d: lineage.code_shingles(_routines(s, d)).groupBy("name").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")),
     "near_dup_pairs": _pairs,
-    "near_dup_clusters": lambda s, d: lineage.clusters(_pairs(s, d)),
+    "near_dup_clusters": _clusters,
     "split_units": _units,
     "cluster_split": lambda s, d: lineage.quota_split(_units(s, d), 0.3, 20260905, Scratch(s)),
     "leak_check": lambda s, d: lineage.leaked(table(s, d, "sft_examples").where("lower(trim(split)) = 'test'").select(F.col("routine").alias("name")), table(s, d, "sft_examples").where("lower(trim(split)) = 'train'").select(F.col("routine").alias("name"))),

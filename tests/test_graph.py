@@ -125,3 +125,43 @@ def test_running_total_over_many_ranges(spark):
         total += v or 0
         want[k] = total
     assert {r["k"]: r["run"] for r in got} == want
+
+
+def alike(sets, least=8, threshold=0.6):
+    """Brute force over {name: set of lines}."""
+    kept = {k: v for k, v in sets.items() if len(v) >= least}
+    return {(a, b): len(kept[a] & kept[b]) for a in kept for b in kept if a < b and len(kept[a] & kept[b]) / len(kept[a] | kept[b]) >= threshold}
+
+
+def shingle_rows(spark, sets):
+    return spark.createDataFrame([(k, x) for k, v in sets.items() for x in sorted(v)], "name string, line string").repartition(3)
+
+
+def many_copies():
+    """40 routines of one source, 30 more that differ in a line, and two alike by short lines alone."""
+    rng = random.Random(5)
+    text = {f"S ^A({i})=$$LONG^ROUTINE({i},X,Y)" for i in range(12)}
+    sets = {f"c{i:02}": set(text) for i in range(40)} | {f"d{i:02}": text | {f"W {i}"} for i in range(30)}
+    sets |= {"s1": {f"K A{i}" for i in range(9)}, "s2": {f"K A{i}" for i in range(1, 10)}, "few": set(sorted(text)[:7])}
+    return sets | {f"r{i:02}": {f"S X={rng.randrange(14)}" for _ in range(14)} for i in range(40)}
+
+
+def test_pairs_of_lines_that_many_or_short_ones_share(spark):
+    sets = many_copies()
+    got = {(r["a"], r["b"]): r["shared"] for r in lineage.line_pairs(shingle_rows(spark, sets)).collect()}
+    assert got == alike(sets) and ("c00", "c39") in got and ("c39", "d00") in got and ("s1", "s2") in got
+
+
+def test_copies_never_straddle_the_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_LEAST", 5)
+    monkeypatch.setattr(skew, "HOT_SHARE", 20)
+    sets = many_copies()
+    rows = shingle_rows(spark, sets)
+    want = union_find([(n, pair) for pair in alike(sets) for n in pair])
+    members = lineage.clusters(lineage.line_links(rows))
+    assert {r["name"]: r["cluster"] for r in members.collect()} == want
+    got = {(r["a"], r["b"]): r["shared"] for r in lineage.line_pairs(rows).collect()}
+    assert got == alike(sets)
+    of = lineage.units(rows.select("name"), members)
+    side = {r["unit_key"]: r["side"] for r in lineage.quota_split(of, 0.5, 3).collect()}
+    assert len({side[r["unit_key"]] for r in of.collect() if r["name"][0] in "cd"}) == 1
