@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 
@@ -758,22 +759,34 @@ class Grammar:
         self.fail()
 
 
+#: Python frames that the grammar may use for one token; Python-to-Python calls take no C stack.
+FRAMES = 40
+
+
+def parsed(src: str) -> tuple[list[Token], list[tuple[int, int, str, bool]], Grammar]:
+    """Tokens, comments and the grammar after a whole pass, however deep the nesting: the recursion limit follows the tokens."""
+    tokens, comments = lex(src)
+    g = Grammar(tokens)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + FRAMES * len(tokens))
+    try:
+        g.module()
+    finally:
+        sys.setrecursionlimit(limit)
+    return tokens, comments, g
+
+
 def js_fault(src: str) -> tuple[int, str] | None:
     try:
-        tokens, _ = lex(src)
-        Grammar(tokens).module()
+        parsed(src)
     except Fault as f:
         return f.line, f.what
-    except RecursionError:
-        return None  # deeper than the check reaches; its delimiters balance
     return None
 
 
 def js_functions(src: str):
     """Functions of a valid module: dicts of name, kind, formals, line, body and comments at their places."""
-    tokens, comments = lex(src)
-    g = Grammar(tokens)
-    g.module()
+    tokens, comments, g = parsed(src)
     lines = re.split(r"\r\n|[\n\r  ]", src)
     for name, kind, formals, first, body in g.functions:
         t, b = tokens[first], tokens[body]

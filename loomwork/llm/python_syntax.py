@@ -63,7 +63,63 @@ def python_fault(src: str) -> tuple[int, str] | None:
     except (SyntaxError, ValueError) as e:
         return seen or (getattr(e, "lineno", None) or 1, "grammar")
     except (RecursionError, MemoryError):
-        return seen
+        return deep_fault(text, seen)
+    return None
+
+
+#: Tokens from which a statement may be too deep for CPython's parser or compiler, whose limits are fixed.
+LONG = 400
+COMPOUND = set("if elif else for while try except finally with def class async match case @".split())
+
+
+def shallow(text: str) -> tuple[str, list[tuple[int, str]]]:
+    """The text with ``pass`` for its long simple statements and ``if`` for each ``elif`` of a chain, lines kept; (line, statement) of those taken out."""
+    lines, taken = text.split("\n"), []
+    out, heads, logical = list(lines), {}, []
+    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+        if t.type in (tokenize.COMMENT, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
+            continue
+        if t.type != tokenize.NEWLINE:
+            logical.append(t)
+            continue
+        first, (row, col), end = logical[0].string, logical[0].start, t.start[0]
+        heads = {c: h for c, h in heads.items() if c <= col}
+        if first == "elif" and heads.get(col) in ("if", "elif"):
+            out[row - 1] = out[row - 1][:col] + "if" + out[row - 1][col + 4 :]
+        heads[col] = first
+        if len(logical) > LONG and first not in COMPOUND:
+            indent = lines[row - 1][:col]
+            taken.append((row, "\n".join(lines[row - 1 : end])[col:] + "\n"))
+            out[row - 1 : end] = [""] * (end - row + 1)
+            out[row - 1] = out[end - 1] = indent + "pass"
+            if first == "return":
+                out[end - 1] = indent + "return"
+        logical = []
+    return "\n".join(out), taken
+
+
+def deep_fault(text: str, seen: tuple[int, str] | None) -> tuple[int, str] | None:
+    """The verdict on a text too deep for one compilation: by its shallow form, then by each statement taken out of it.
+
+    The parser is done with a statement before RecursionError rises, so that one is good. Of a statement that the
+    parser itself gives up (MemoryError: some thousand nested operators) the lexer's verdict is the last word.
+    """
+    try:
+        form, taken = shallow(text)
+    except (tokenize.TokenError, SyntaxError) as e:
+        return seen or (getattr(e, "lineno", None) or e.args[1][0], "grammar")
+    for line, part, flags in [(1, form, 0), *((line, part, ast.PyCF_ONLY_AST) for line, part in taken)]:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                compile(part, "source", "exec", flags, dont_inherit=True)
+        except (SyntaxError, ValueError) as e:
+            return seen or (line - 1 + (getattr(e, "lineno", None) or 1), "grammar")
+        except RecursionError:
+            continue
+        except MemoryError:
+            if seen:
+                return seen
     return None
 
 
@@ -104,16 +160,62 @@ def json_fault(src: str) -> tuple[int, str] | None:
     except ValueError as e:
         return seen or (getattr(e, "lineno", None) or 1, "grammar")
     except RecursionError:
-        return seen
+        return seen or deep_json_fault(src)
     return None
 
 
+JSON_PART = re.compile(r'[ \t\n\r]*(?:([\[{\]},:])|("(?:[^"\\\x00-\x1f]|\\.)*"|[^\s"\[\]{},:]+))')
+
+
+def deep_json_fault(src: str) -> tuple[int, str] | None:
+    """The grammar of JSON with an explicit stack, for nesting that the reader's recursion does not reach."""
+    stack, at, want = [], 0, "value"  # want: value, first (value or end), name, only (name or end), colon, next
+    while m := JSON_PART.match(src, at):
+        mark, leaf = m.groups()
+        good = True
+        if want in ("value", "first") and (leaf or mark in ("[", "{")):
+            if leaf:
+                try:
+                    json.loads(leaf, parse_constant=_no_constant)
+                except ValueError:
+                    good = False
+                want = "next"
+            else:
+                stack.append(mark)
+                want = "first" if mark == "[" else "only"
+        elif want in ("name", "only") and leaf and leaf[0] == '"':
+            try:
+                json.loads(leaf)
+            except ValueError:
+                good = False
+            want = "colon"
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want == "next" and stack and mark == ",":
+            want = "value" if stack[-1] == "[" else "name"
+        elif stack and mark == CLOSER[stack[-1]] and want in ("next", "first", "only"):
+            stack.pop()
+            want = "next"
+        else:
+            good = False
+        if not good:
+            return src.count("\n", 0, m.start(m.lastindex)) + 1, "grammar"
+        at = m.end()
+    return None if want == "next" and not stack and not src[at:].strip(" \t\n\r") else (src.count("\n", 0, at) + 1, "grammar")
+
+
 def python_functions(src: str):
     """Functions of a valid file: dicts of name, kind, formals, line, body and comments at their places."""
     text = src.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        tree = ast.parse(text)
+        try:
+            tree = ast.parse(text)
+        except (RecursionError, MemoryError):
+            try:
+                tree = ast.parse(shallow(text)[0])  # long simple statements hold no function
+            except (RecursionError, MemoryError):
+                return  # a head of a statement is too deep: no symbols
     lines = text.split("\n")
     comments: dict[int, tuple[str, bool]] = {}
     for t in tokenize.generate_tokens(io.StringIO(text).readline):

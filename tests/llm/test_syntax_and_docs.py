@@ -138,3 +138,40 @@ def test_overloads_share_documentation():
 def test_stand_ins_never_count(text):
     d = code_docs.description(text)
     assert not (d and code_docs.telling(d, "f", []))
+
+
+DEEP_JS = ["x = " + "(" * 3000 + "1" + ")" * 3000 + ";\n", "if (a) b();\n" + "else if (c) d();\n" * 5000, "x = " + "[" * 3000 + "]" * 3000 + ";\n", "x = " + "a => " * 3000 + "1;\n", "{" * 3000 + "}" * 3000 + "\n"]
+SUM = "x = " + " + ".join(["1"] * 10_000) + "\n"
+DEEP_PY = [SUM, "x = " + "not " * 8000 + "a\n", "if a:\n    pass\n" + "elif b:\n    pass\n" * 30_000, "def f():\n    return (" + " +\n  ".join(["1"] * 10_000) + ")\n"]
+
+
+@pytest.mark.parametrize("src", DEEP_JS)
+def test_faults_after_deep_javascript(src):
+    assert js_fault(src) is None
+    assert js_fault(src + "let y = ;\n")[0] == src.count("\n") + 1
+    assert [f["name"] for f in js_functions(src + "function f(a) {}\n")] == ["f"]
+
+
+@pytest.mark.parametrize("src", DEEP_PY)
+def test_faults_after_deep_python(src):
+    assert python_fault(src) is None
+    assert python_fault(src + "y = = 2\n") == (src.count("\n") + 1, "grammar")
+    found = list(python_functions(src + "def g(a):\n    # says it\n    return a\n"))[-1]
+    assert (found["name"], found["line"], found["docs"], found["body"]) == ("g", src.count("\n") + 1, [("below", " says it")], "def g(a):\n    # says it\n    return a")
+
+
+def test_faults_in_and_around_deep_python():
+    assert python_fault(SUM[:-1] + " + = 1\n") == (1, "grammar")
+    assert python_fault(SUM + "return 1\n") == (2, "grammar")
+    assert python_fault(SUM + "elif a:\n    pass\n") == (2, "grammar")
+    whole = 'def f(a):\n    "Says it."\n    return (' + " +\n  ".join(["1"] * 10_000) + ")\n"
+    (f,) = python_functions(whole)
+    assert f["body"] == whole[:-1] and f["docs"] == [("docstring", "Says it.")]
+
+
+def test_faults_after_deep_json():
+    deep = "[" * 60_000 + '{"a": [1, -2.5e3, true, null, "x\\n"], "b": {}}' + "]" * 60_000
+    assert json_fault(deep) is None and json_fault(deep.replace("null", '"]"')) is None
+    for bad in ("nul", "NaN", "01", "1 2", "1,", '"\\q"', '{"a" 1}', "{1: 2}", '{"a": 1,}'):
+        assert json_fault(deep.replace("null", bad)) == (1, "grammar"), bad
+    assert json_fault(deep + " 1") == (1, "grammar")
