@@ -21,10 +21,15 @@ def postings(passages: DataFrame, key: str = "id") -> DataFrame:
     return passages.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def hits(passages: DataFrame, terms: list[str], key: str = "id", where=None) -> DataFrame:
-    """(key, term, kept, tf) for the query's terms only; ``kept`` says whether ``where`` holds for the passage."""
+def _wanted(terms: list[str], text) -> F.Column:
+    """The tokens of ``text`` that the query names."""
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    found = F.filter(tokens(F.col("text")), lambda t: F.array_contains(wanted, t))
+    return F.filter(tokens(text), lambda t: F.array_contains(wanted, t))
+
+
+def hits(passages: DataFrame, terms: list[str], key: str = "id", where=None, title: str | None = None) -> DataFrame:
+    """(key, term, kept, tf) for the query's terms only; ``kept`` says whether ``where`` holds for the passage. A title counts as text."""
+    found = _wanted(terms, F.col("text") if title is None else F.concat_ws(" ", title, "text"))
     kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     return passages.select(key, kept.alias("kept"), F.explode(found).alias("term")).groupBy(key, "term", "kept").agg(F.count("*").alias("tf"))
 
@@ -36,21 +41,33 @@ def term_stats(passages: DataFrame, terms: list[str], key: str = "id", found: Da
     return df.join(F.broadcast(total)).select("term", "df", F.log(1 + F.col("total") / (1 + F.col("df"))).alias("idf"))  # one row
 
 
-def ranked_hits(passages: DataFrame, terms: list[str], key: str = "id", where=None, scratch: Scratch | None = None) -> DataFrame:
+def ranked_hits(passages: DataFrame, terms: list[str], key: str = "id", where=None, scratch: Scratch | None = None, title: str | None = None, sources: DataFrame | None = None, source_key: str = "source_id") -> DataFrame:
     """(key, score): sum of idf (1 + ln tf) per passage that ``where`` keeps; idf stays that of all passages.
 
+    ``title`` names the passages' titles: 2 idf for each term in it. ``sources`` are those of ``inventory`` (id, title,
+    tags, priority, relevance), met by ``source_key``: 0.3 for each term in title or tags, 0.25 priority and the
+    relevance. These reorder hits; a passage without any term stays none.
     Hits are written once, so that texts are scanned once for frequencies and scores together.
     """
-    found = (scratch or Scratch(passages.sparkSession)).keep(hits(passages, terms, key, where))
+    found = (scratch or Scratch(passages.sparkSession)).keep(hits(passages, terms, key, where, title))
     stats = term_stats(passages, terms, key, found)
     scored = found.where("kept").join(F.broadcast(stats), "term")  # one row per query term
-    return scored.groupBy(key).agg(F.round(F.sum(F.col("idf") * (1 + F.log("tf"))), 6).alias("score"))
-
-
-def search(passages: DataFrame, query: str, k: int, key: str = "id", where=None, excerpt: int = 1800) -> DataFrame:
-    """The k best passages: key, score, excerpt, truncated. Ties go to the smaller key."""
+    scored = scored.groupBy(key).agg(F.sum(F.col("idf") * (1 + F.log("tf"))).alias("score"))
+    if title is not None:
+        titled = passages.select(key, F.explode(F.array_distinct(_wanted(terms, F.col(title)))).alias("term")).join(F.broadcast(stats), "term")
+        scored = scored.join(titled.groupBy(key).agg((2 * F.sum("idf")).alias("more")), key, "left").select(key, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    if sources is not None:
+        named = F.size(F.array_distinct(_wanted(terms, F.concat_ws(" ", "title", "tags"))))
+        worth = sources.select(F.col("id").alias("_source"), (named * 0.3 + F.coalesce("priority", F.lit(0)) * 0.25 + F.col("relevance")).alias("more"))
+        of = passages.select(key, F.col(source_key).alias("_source"))
+        scored = scored.join(of, key).join(worth, "_source", "left").select(key, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return scored.select(key, F.round("score", 6).alias("score"))
+
+
+def search(passages: DataFrame, query: str, k: int, key: str = "id", where=None, excerpt: int = 1800, title: str | None = None, sources: DataFrame | None = None, source_key: str = "source_id") -> DataFrame:
+    """The k best passages: key, score, excerpt, truncated. Ties go to the smaller key. Titles and sources as in ``ranked_hits``."""
     terms = query_terms(query)
-    top = ranked_hits(passages, terms, key, where).orderBy(F.desc("score"), key).limit(k)
+    top = ranked_hits(passages, terms, key, where, title=title, sources=sources, source_key=source_key).orderBy(F.desc("score"), key).limit(k)
     return passages.join(F.broadcast(top), key).select(key, "score", F.substring("text", 1, excerpt).alias("excerpt"), (F.length("text") > excerpt).alias("truncated"))  # k rows
 
 

@@ -179,3 +179,16 @@ def test_resolve(spark):
     assert (r["file"], r["record"], r["node"], r["samples"], r["notes"]) == ("2", "3", "0", ["C^F", "A^M"], []) and [x["name"] for x in r["layout"]] == ["NAME", "SEX"]
     assert got["^DPT(9,.3)"]["notes"] == ["no field on this node", "no stored value of its own"]
     assert got["^ZZ(1)"]["notes"] == ["no file has this root"] and got["^ZZ(1)"]["samples"] == ["q"]
+
+
+def test_titles_and_sources_reorder_hits(spark):
+    import math
+
+    p = spark.createDataFrame([("a1", "a", "Retry rules", "wait then retry retry"), ("b1", "b", "Other", "retry once"), ("b2", "b", "Retry", "nothing here"), ("c1", "c", "None", "no word of it"), ("d1", None, None, "retry")], "id string, source_id string, title string, text string")
+    m = spark.createDataFrame([("a", "Manual", ["sdk"], ["*.widget"], 1), ("b", "Retry guide", ["retry", "wait"], ["*.m"], 4), ("c", "Retry wait", ["wait"], ["*.m"], 9)], "id string, title string, tags array<string>, file_patterns array<string>, priority int")
+    got = {r["id"]: r["score"] for r in search.ranked_hits(p, ["retry", "wait"], title="title", sources=search.inventory(m, "x/y.m")).collect()}
+    retry, wait = math.log(1 + 5 / 5), math.log(1 + 5 / 2)
+    want = {"a1": retry * (1 + math.log(3)) + wait + 2 * retry + 0.25, "b1": retry + 0.6 + 1 + 6, "b2": retry + 2 * retry + 0.6 + 1 + 6, "d1": retry}
+    assert got == {k: round(v, 6) for k, v in want.items()}
+    best = search.search(p, "wait retry", 2, title="title", sources=search.inventory(m, "x/y.m")).collect()
+    assert {r["id"] for r in best} == {"b1", "b2"}
