@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import masked
+
 
 def state_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, kind, expected, actual): refs whose presence or value differs. Null values equal each other."""
@@ -40,14 +42,32 @@ def piece_diff(diff: DataFrame, keys: list[str], delimiter: str = "^") -> DataFr
     return z.select(*keys, (F.col("i") + 1).alias("piece"), F.coalesce("p.a", F.lit("")).alias("expected"), F.coalesce("p.b", F.lit("")).alias("actual")).where(F.col("expected") != F.col("actual"))
 
 
+def ancestors(ref: F.Column) -> F.Column:
+    """The nodes above a node: of ^A("x,y",2) they are ^A and ^A("x,y"); commas and brackets in quotes cut nothing."""
+    bare = masked(ref)
+    cut = F.filter(F.transform(F.split(bare, ""), lambda c, i: F.when(c.isin("(", ","), i)), lambda i: i.isNotNull())
+    return F.transform(cut, lambda i: F.concat(F.substring(ref, F.lit(1), i), F.when(F.substring(bare, i + 1, F.lit(1)) == ",", ")").otherwise("")))
+
+
+def parents(plan: DataFrame, state: DataFrame) -> DataFrame:
+    """ref of the plan's kills under which the state has nodes. Refs that are no strings form no tree."""
+    kills = plan.where("op = 'kill'").select("ref").distinct()
+    above = state.select(F.explode(ancestors(F.col("ref"))).alias("ref")).distinct()
+    return kills.join(above, "ref", "left_semi")
+
+
 def preview(plan: DataFrame, state: DataFrame) -> DataFrame:
     """(ref, op, before_value, current, present, matches): whether each operation's precondition still holds.
 
-    ``before_value`` null means that the ref was absent when the plan was made.
+    ``before_value`` null means that the ref was absent when the plan was made. A kill of a node with descendants
+    in the state never matches: no plan deletes or orphans a subtree.
     """
     now = state.select("ref", F.col("value").alias("current"), F.lit(True).alias("present"))
     j = plan.join(now, "ref", "left").withColumn("present", F.coalesce("present", F.lit(False)))
     ok = F.when(F.col("before_value").isNull(), ~F.col("present")).otherwise(F.col("present") & F.col("before_value").eqNullSafe(F.col("current")))
+    if dict(state.dtypes)["ref"] == dict(plan.dtypes)["ref"] == "string":
+        j = j.join(parents(plan, state).withColumn("above", F.lit(True)), "ref", "left")
+        ok = ok & ((F.col("op") != "kill") | F.col("above").isNull())
     return j.select("ref", "op", "before_value", "current", "present", ok.alias("matches"))
 
 

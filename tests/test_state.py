@@ -56,3 +56,13 @@ def test_upsert_takes_the_newest(spark):
     old = spark.createDataFrame([("Py", 1, "x")], "language string, at int, v string")
     new = spark.createDataFrame([("PY", 1, "y"), ("go", 2, "z")], "language string, at int, v string")
     assert rows(sd.upsert(old, new, F.lower("language"), "at")) == [("PY", 1, "y"), ("go", 2, "z")]
+
+
+def test_kill_of_a_node_with_descendants_is_refused(spark):
+    s = state(spark, ("^A", "0"), ("^A(1)", "1"), ("^A(1,2)", "2"), ("^A(10)", "3"), ('^A("x,y")', "4"), ('^A("x,y","(")', "5"), ('^A("x")', "6"), ("^B(1,2)", "7"), ("^AB", "8"))
+    for ref, before, fits in (("^A", "0", False), ("^A(1)", "1", False), ('^A("x,y")', "4", False), ("^B", None, False), ("^B(1)", None, False), ("^A(1,2)", "2", True), ("^A(10)", "3", True), ('^A("x")', "6", True), ('^A("x,y","(")', "5", True), ("^AB", "8", True)):
+        p = plan(spark, (ref, "kill", before, None), ("^A(5)", "set", None, "9"))
+        assert sd.ready(p, s).first()["conflicts"] == (0 if fits else 1), ref
+        if ref in ("^A(1)", "^A(10)"):
+            assert rows(sd.apply_plan(p, s)) == (sorted([r for r in rows(s) if r[0] != ref] + [("^A(5)", "9")], key=repr) if fits else rows(s))
+    assert sd.ready(plan(spark, ("^A(1)", "set", "1", "9")), s).first()["ready"]
