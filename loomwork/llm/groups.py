@@ -35,14 +35,11 @@ def author_name(author) -> F.Column:
     return F.when(~bare.isin(NOBODY) & bare.rlike(r"[\p{L}\p{N}]"), bare)
 
 
-def distinct_tasks(tasks: DataFrame) -> DataFrame:
-    """One row per task_no: its routine and author as they compare. Tasks without number are left out; one with neither routine nor task_id is its own entity, ``#`` and its number."""
-    return (
-        tasks.where(F.col("task_no").isNotNull())
-        .groupBy("task_no")
-        .agg(F.min(F.struct(routine_name(F.col("routine"), F.col("task_id")).alias("name"), author_name(F.col("author")).alias("who"))).alias("v"))
-        .select("task_no", F.coalesce("v.name", F.concat(F.lit("#"), F.col("task_no").cast("string"))).alias("name"), "v.who")
-    )
+def task_facts(tasks: DataFrame) -> DataFrame:
+    """(task_no, name, who): every routine and author that some delivery of a task names, as they compare. Tasks without
+    number are left out; a delivery with neither routine nor task_id is its own entity, ``#`` and its number."""
+    name = F.coalesce(routine_name(F.col("routine"), F.col("task_id")), F.concat(F.lit("#"), F.col("task_no").cast("string")))
+    return tasks.where(F.col("task_no").isNotNull()).select("task_no", name.alias("name"), author_name(F.col("author")).alias("who")).distinct()
 
 
 # ---- split totals -------------------------------------------------------------------------------------------------
@@ -108,16 +105,24 @@ def split_plan(sizes: dict[int, int], proportions: dict[str, float]) -> list[tup
 
 
 def assign_units(tasks: DataFrame, scratch: Scratch) -> DataFrame:
-    """(task_no, unit_key) of every task; unit_key is the least routine name of its component."""
-    t = scratch.keep(distinct_tasks(tasks))
-    units = components(t.select("name", "who").distinct(), scratch)
-    return skew_join(t, units, ["name"]).select("task_no", F.col("unit").alias("unit_key"))
+    """(task_no, unit_key) of every task; unit_key is the least routine name of its component.
+
+    All deliveries of a task tie: a delivery without author hides none of another's, and different routines or authors
+    of one task belong to one unit.
+    """
+    t = scratch.keep(task_facts(tasks))
+    named = scratch.keep(t.groupBy("task_no").agg(F.min("name").alias("name"), F.max("name").alias("last")))
+    authors = t.select("name", F.concat(F.lit("a"), "who").alias("who"))
+    several = named.where(F.col("name") != F.col("last")).select("task_no")
+    own = skew_join(t.select("task_no", "name"), several, ["task_no"], "left_semi").select("name", F.concat(F.lit("t"), F.col("task_no").cast("string")).alias("who"))
+    units = components(authors.unionByName(own).distinct(), scratch)
+    return skew_join(named.drop("last"), units, ["name"]).select("task_no", F.col("unit").alias("unit_key"))
 
 
 def grouped_split(tasks: DataFrame, proportions: dict[str, float] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(task_no, unit_key, split) with splits of whole units, their totals as close to ``proportions`` as units allow.
 
-    Defined results: no tasks give no rows; a unit larger than a split's total goes wherever the closest sum puts it,
+    Defined results: no tasks give no rows; a task delivered several times is one task; a unit larger than a split's total goes wherever the closest sum puts it,
     usually to the first split. Equal inputs give equal splits: units of one size are ordered by a hash of their key.
     """
     proportions = proportions or {"train": 0.8, "validation": 0.1, "test": 0.1}

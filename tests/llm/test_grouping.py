@@ -32,6 +32,12 @@ def test_units_chain_through_authors_and_stay_whole(spark):
     assert groups.grouped_split(tasks(spark, *rows).limit(0)).count() == 0
 
 
+def test_a_delivery_without_author_hides_no_link(spark):
+    rows = [(1, "A", "", None, None), (1, "A", "", "jo", None), (2, "B", "", "Jo", None), (3, "C", "", None, None), (3, "D", "", None, None), (4, "D", "", None, None)]
+    got = sorted((r["task_no"], r["unit_key"]) for r in groups.grouped_split(tasks(spark, *rows)).collect())
+    assert got == [(1, "A"), (2, "A"), (3, "C"), (4, "C")]
+
+
 def test_splits_come_close_and_a_hot_unit_stays_whole(spark):
     rng = random.Random(5)
     rows = [(i, "HOT" if i < 100 else f"R{rng.randrange(90)}", "", f"a{rng.randrange(4000)}", None) for i in range(300)]

@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from xxhash import xxh64_intdigest
 
 from loomwork.llm import containers, languages, leaks
 
@@ -141,12 +142,13 @@ def test_languages(spark, model):
 
 
 def test_filters_report_every_language_of_a_gram():
-    f = languages.Filters([(languages._hash(g), m) for g, m in (("abc", 1), ("abd", 3), ("xyz", 64))])
-    assert [f.contains(languages._hash(g)) for g in ("abc", "abd", "xyz", "none")] == [1, 3, 64, 0]
-    many = [(languages._hash(f"g{i}"), 1 << (i % 7)) for i in range(20_000)]
+    _hash = lambda g: xxh64_intdigest(g.encode())
+    f = languages.Filters([(_hash(g), m) for g, m in (("abc", 1), ("abd", 3), ("xyz", 64))])
+    assert [f.contains(_hash(g)) for g in ("abc", "abd", "xyz", "none")] == [1, 3, 64, 0]
+    many = [(_hash(f"g{i}"), 1 << (i % 7)) for i in range(20_000)]
     f = languages.Filters(many)
     assert all(f.contains(h) & m for h, m in many)
-    wrong = sum(bool(f.contains(languages._hash(f"other{i}"))) for i in range(5000)) / 5000
+    wrong = sum(bool(f.contains(_hash(f"other{i}"))) for i in range(5000)) / 5000
     assert wrong < 0.02
 
 
@@ -157,3 +159,67 @@ def test_held_out_accuracy_on_the_project_table(spark):
     model = languages.learn(d.where("doc_id % 2 = 0"), sample=200)
     rows = languages.document_languages(d.where("doc_id % 2 = 1"), model).where("stated IS NOT NULL AND size(languages) = 1").select("stated", "lang").collect()
     assert sum(r["stated"] == r["lang"] for r in rows) / len(rows) > 0.93  # a few per cent of the labels are wrong
+
+
+def test_more_than_eight_languages():
+    names = [f"l{i}" for i in range(12)]
+    f = languages.Filters([(xxh64_intdigest(b"x"), 1 << 11), (xxh64_intdigest(b"y"), 5)], names)
+    assert [int(f.contains(xxh64_intdigest(b))) for b in (b"x", b"y", b"z")] == [1 << 11, 5, 0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abcé", min_size=1, max_size=9), max_size=6))
+def test_gram_hashes_are_the_different_grams_of_each_word(words):
+    who, h = languages.gram_hashes(words)
+    def grams(w):
+        w = f"^{w}$"
+        return {w} | {w[i : i + n] for n in languages.SIZES for i in range(len(w) - n + 1)}
+    assert [int((who == i).sum()) for i in range(len(words))] == [len(grams(w)) for w in words]
+    of = [set(h[who == i].tolist()) for i in range(len(words))]
+    assert all(len(of[i] & of[k]) == len(grams(a) & grams(b)) for i, a in enumerate(words) for k, b in enumerate(words))
+
+
+def test_every_text_of_an_item_is_searched(spark):
+    passage, other = " ".join(f"p{i}" for i in range(20)), " ".join(f"z{i}" for i in range(20))
+    it = spark.createDataFrame([(9, passage, None, "s"), (9, other, None, "s"), (None, passage, None, "s")], "item_id bigint, text string, lang string, suite string")
+    index = leaks.PhraseIndex(docs(spark, (1, f"a b {passage} c", None), (2, f"{other} d", None), (3, "p1 p2 z1 z2", None)))
+    assert {(r["doc_id"], r["item_id"], r["longest"]) for r in index.phrases(it).collect()} == {(1, 9, 20), (2, 9, 20)}
+    assert {(r["doc_id"], r["item_id"]) for r in index.near(it).collect()} == {(1, 9), (2, 9)}
+
+
+def test_a_passage_with_an_unknown_word_in_ten_is_near(spark):
+    passage = " ".join("unheard" + str(i) if i % 10 == 5 else f"p{i}" for i in range(60))
+    it = spark.createDataFrame([(1, passage, None, "s")], "item_id bigint, text string, lang string, suite string")
+    index = leaks.PhraseIndex(docs(spark, (1, " ".join(f"p{i}" for i in range(60)), None), (2, "p3 p4 p5", None)))
+    assert [(r["doc_id"], r["item_id"]) for r in index.near(it).collect()] == [(1, 1)] and index.phrases(it).count() == 0
+
+
+def test_recall_of_near_passages(spark):
+    """Passages with a tenth of their words changed, dropped or doubled, against all alignments counted by brute force."""
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(80)]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.6 else f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, words(rng.randrange(25, 80))) for i in range(40)]
+    rows = []
+    for d in range(400):
+        t = words(rng.randrange(10, 60))
+        if d % 2:
+            part = []
+            for w in items[rng.randrange(40)][1]:
+                r = rng.random()
+                part += [] if r < 0.03 else [w, w] if r < 0.06 else [f"n{rng.randrange(9999)}"] if r < 0.1 else [w]
+            t += part
+        rows.append((d, " ".join(t + words(rng.randrange(40))), None))
+    want = set()
+    for d, text, _ in rows:
+        at: dict[str, list[int]] = {}
+        for p, w in enumerate(text.split()):
+            at.setdefault(w, []).append(p)
+        for i, ws in items:
+            shifts = [(p - k, k) for k, w in enumerate(ws) for p in at.get(w, ())]
+            if any(len({k for s, k in shifts if lo <= s < lo + 8}) >= 0.7 * len(ws) for lo in {s for s, _ in shifts}):
+                want.add((d, i))
+    it = spark.createDataFrame([(i, " ".join(w), None, "s") for i, w in items], "item_id bigint, text string, lang string, suite string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.PhraseIndex(docs(spark, *rows)).near(it).collect()}
+    print("recall", len(got & want) / len(want), "precision", len(got & want) / len(got))
+    assert len(want) > 150 and len(got & want) / len(want) >= 0.9
