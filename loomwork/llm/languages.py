@@ -232,28 +232,49 @@ def learn(documents: DataFrame, sample: int = SAMPLE, ratio: float = RATIO, name
     return Filters(np.stack([kept["gram"].to_numpy(np.int64).view(np.uint64), kept["mask"].to_numpy(np.int64).astype(np.uint64)], axis=1), languages)
 
 
-def stretches(text: str, known: Words) -> list[tuple[int, int, str, float]]:
-    """(first character, end, language, confidence) of each stretch of one language."""
-    said = WORDS.findall(text)
-    if not said:
-        return []
-    numbers = known.numbers
-    try:
-        at = [numbers[w] for w in said]
-    except KeyError:
-        known.learn(set(said))
-        numbers = known.numbers
-        at = [numbers[w] for w in said]
-    s = known.table[at]
-    total = s.sum(axis=0)
-    if total.max() <= 0:
-        return []
-    languages = known.filters.languages
-    best = int(total.argmax())
-    # No other language can pay for two changes (one at an end): the text is of one language.
-    gain = np.cumsum(np.vstack([np.zeros(s.shape[1]), s - s[:, [best]]]), axis=0)
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= CHANGE:
-        return [(WORDS.search(text).start(), text.rfind(said[-1]) + len(said[-1]), languages[best], _confidence(total))]
+def _runs(lengths: list[int], most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together hold about ``most`` words."""
+    begin = held = 0
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= most:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def stretches(texts: list[str], known: Words) -> list[list[tuple[int, int, str, float]]]:
+    """Per text (first character, end, language, confidence) of each stretch of one language."""
+    said = [WORDS.findall(t) for t in texts]
+    known.learn({w for ws in said for w in ws})
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    for begin, end in _runs([len(ws) for ws in said]):
+        which = [i for i in range(begin, end) if said[i]]
+        if not which:
+            continue
+        lengths = np.array([len(said[i]) for i in which])
+        starts = np.cumsum(lengths) - lengths
+        s = known.table[np.fromiter((known.numbers[w] for i in which for w in said[i]), np.int64, int(lengths.sum()))]
+        totals = np.add.reduceat(s, starts)
+        best = totals.argmax(axis=1)
+        # What another language gains on the best one over any run of words; every text lies far below the one before.
+        gain = np.cumsum(s - s[np.arange(len(s)), np.repeat(best, lengths)][:, None], axis=0)
+        gain -= np.repeat(np.vstack([np.zeros(s.shape[1]), gain[starts[1:] - 1]]), lengths, axis=0)
+        floor = -np.repeat(np.arange(len(which)), lengths)[:, None] * (2 * np.abs(gain).max() + 1)
+        most = np.maximum.reduceat(gain + floor - np.minimum.accumulate(np.minimum(gain + floor, floor), axis=0), starts).max(axis=1)
+        for k, i in enumerate(which):
+            if totals[k].max() <= 0:
+                continue
+            if most[k] <= CHANGE - 1e-6:  # no other language can pay for two changes (one at an end)
+                text, last = texts[i], said[i][-1]
+                out[i] = [(WORDS.search(text).start(), text.rfind(last) + len(last), known.filters.languages[best[k]], _confidence(totals[k]))]
+            else:
+                out[i] = _several(texts[i], s[starts[k] : starts[k] + lengths[k]], known.filters.languages)
+    return out
+
+
+def _several(text: str, s: np.ndarray, languages: list[str]) -> list[tuple[int, int, str, float]]:
     words = list(WORDS.finditer(text))
     path = _best_path(s, [bool(STOP.search(text, a.end(), b.start())) for a, b in zip(words, words[1:])])
     path = _merge_short(path, s)
@@ -272,17 +293,18 @@ def _confidence(sums: np.ndarray) -> float:
 
 
 def _best_path(s: np.ndarray, breaks: list[bool]) -> list[int]:
-    score, back = s[0].copy(), []
-    for i in range(1, len(s)):
-        top = int(score.argmax())
-        moved = score[top] - (CHANGE if breaks[i - 1] else CHANGE_WITHIN)
-        stay = score >= moved
-        back.append(np.where(stay, np.arange(len(score)), top))
-        score = np.where(stay, score, moved) + s[i]
-    at = int(score.argmax())
+    """Language of each word: most evidence less the costs of changes."""
+    rows = s.tolist()
+    score, back = rows[0], []
+    for row, pause in zip(rows[1:], breaks):
+        most = max(score)
+        moved = most - (CHANGE if pause else CHANGE_WITHIN)
+        back.append((score.index(most), [x >= moved for x in score]))
+        score = [(x if x >= moved else moved) + e for x, e in zip(score, row)]
+    at = score.index(max(score))
     path = [at]
-    for b in reversed(back):
-        at = int(b[at])
+    for top, stay in reversed(back):
+        at = at if stay[at] else top
         path.append(at)
     return path[::-1]
 
@@ -317,9 +339,8 @@ def detect(documents: DataFrame, filters: Filters) -> DataFrame:
         local.mask = len(local.cells) - 1
         known = Words(local)
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            known.learn({w for t in texts for w in WORDS.findall(t)})
-            found = [[{"from": a, "to": z, "lang": lang, "confidence": c} for a, z, lang, c in stretches(t, known)] for t in texts]
+            found = stretches([t if isinstance(t, str) else "" for t in b["text"]], known)
+            found = [[{"from": a, "to": z, "lang": lang, "confidence": c} for a, z, lang, c in f] for f in found]
             yield pd.DataFrame({"doc_id": b["doc_id"], "stated": [code_of(x) for x in b["lang"]], "stretches": found})
 
     return documents.select("doc_id", "lang", "text").mapInPandas(run, f"doc_id bigint, stated string, stretches {SEGMENT}")
