@@ -1,12 +1,17 @@
 """Problem 2: functions paired with the comment that documents them.
 
-A kernel reads each file once and emits its symbol table: qualified name, formal arguments and their normalised
-signature, body, and the comments at the four places that may document it. Declarations that stand apart from a
-definition (the label facts of ``routine_labels``, body-less overloads) join definitions by file, name without case
-and signature; documentation of one signature serves all its declarations. Only then are pairs filtered.
-
-Defined results: files that do not parse give no symbols; a null ``src`` gives none. A symbol defined twice with
-different signatures is kept per signature. Repeated deliveries and repeated label rows change nothing.
+A kernel reads each file once and emits its part of the symbol table: module, qualified name, formal arguments, what the
+best of the comments at the places that may document it tells, and whether the symbol is a declaration apart from its
+definition (a function of a stub file, an overload). Over the tables of all files, documented declarations join the
+definitions without telling comment of their own by module, qualified name and normalised signature, so overloads
+resolve by their arguments; only then are functions without description dropped.
+
+A module is a repository and a path without ending: ``pkg/shape.pyi`` declares what ``pkg/shape.py`` defines. The label
+facts of ``routine_labels`` say which symbols are declared entry points; they carry no comments.
+
+Defined results: files that do not parse give no symbols; a null ``src`` gives none; a null ``repo`` is a repository of
+its own. A symbol defined twice with different signatures is kept per signature. Stub files declare, but are no source
+of pairs. Repeated deliveries and repeated label rows change nothing.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .js_syntax import js_functions
-from .mumps_syntax import entry_points
-from .python_syntax import python_functions
-from .syntax import ending, fault_of
+from ..sources.scratch import Scratch
+from .js_syntax import Fault, js_functions
+from .leaks import bounded
+from .mumps_syntax import entry_points, mumps_fault
+from .python_syntax import python_fault, python_functions
+from .syntax import ending
 
-READERS = {"m": entry_points, "py": python_functions, "js": js_functions}
-SYMBOLS = "file_id bigint, label string, kind string, formals array<string>, line int, docs array<struct<place string, text string>>, body string"
+#: Endings of files whose functions only declare.
+STUBS = {"pyi"}
+SYMBOLS = "file_id bigint, module string, label string, kind string, formals array<string>, line int, declares boolean, description string, body string"
 
 TAG_LINE = re.compile(r"^\s*(?:@(?!todo)\w+\b.*|:(?:param|type|returns?|rtype|raises?)\b.*|(?:Args|Arguments|Returns|Raises|Parameters|Yields):\s*|>>>.*|\.\.\.\s.*)$", re.I)
 # What stands in for a description, at the start of a line.
@@ -82,39 +90,55 @@ def telling(text: str, label: str, formals) -> bool:
     return len({w.lower() for w in WORD.findall(text)} - own) >= MIN_WORDS
 
 
+def functions_of(path, src) -> list[dict] | None:
+    """The functions of one file, which is parsed once, or None if it is of no known language or not valid."""
+    kind = ending(path)
+    if not isinstance(src, str):
+        return None
+    if kind == "js":
+        try:
+            return list(js_functions(src))
+        except Fault:
+            return None
+    if kind == "py" or kind in STUBS:
+        return None if python_fault(src) else list(python_functions(src))
+    if kind == "m":
+        return None if mumps_fault(src) else list(entry_points(src))
+    return None
+
+
+def told(f: dict) -> str | None:
+    """The longest telling description among a function's comments."""
+    best = ""
+    for _, comment in f["docs"]:
+        text = description(comment or "")
+        if text and len(text) > len(best) and telling(text, f["name"], f["formals"]):
+            best = text
+    return best or None
+
+
 def _symbols(bodies: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file_id", "module", "label", "kind", "formals", "line", "declares", "description", "body", "stub"]
         for b in batches:
             rows = []
-            for file_id, path, src in zip(b["file_id"], b["path"], b["src"]):
-                reader = READERS.get(ending(path))
-                if reader is None or not isinstance(src, str) or fault_of(path, src)[2]:
+            for file_id, repo, path, src in zip(b["file_id"], b["repo"], b["path"], b["src"]):
+                found = functions_of(path, src)
+                if not found:
                     continue
-                for f in reader(src):
-                    docs = [{"place": p, "text": t} for p, t in f["docs"]]
-                    rows.append((file_id, f["name"], f["kind"], f["formals"], f["line"], docs, f["body"] if bodies else None))
-            yield pd.DataFrame(rows, columns=["file_id", "label", "kind", "formals", "line", "docs", "body"])
+                module, stub = f"{repo if isinstance(repo, str) else ''}\t{path.rsplit('.', 1)[0]}", ending(path) in STUBS
+                for f in found:
+                    rows.append((file_id, module, f["name"], f["kind"], f["formals"], f["line"], stub or f.get("declares", False), told(f), f["body"] if bodies else None, stub))
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
 def symbol_table(routines: DataFrame, bodies: bool = True) -> DataFrame:
-    """One row per function of a file that parses: qualified name, formals, line, comments by place, body (or null)."""
-    need = routines.select("file_id", "path", "src").where(F.col("file_id").isNotNull())
-    return need.mapInPandas(_symbols(bodies), SYMBOLS)
-
-
-def _tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = []
-        for label, formals, docs in zip(b["label"], b["formals"], b["docs"]):
-            best = ""
-            for d in docs:
-                text = description(d["text"] or "")
-                if text and telling(text, label, formals) and len(text) > len(best):
-                    best = text
-            found.append(best or None)
-        yield b[["file_id", "label", "kind", "formals", "line", "declared", "body"]].assign(description=found)
+    """One row per function of a file that parses: module, qualified name, formals, line, whether it declares only or too, its own description, body (or null)."""
+    need = routines.select("file_id", "repo", "path", "src").where(F.col("file_id").isNotNull())
+    table = need.mapInPandas(_symbols(bodies), SYMBOLS + ", stub boolean")
+    return table.withColumn("sig", signature(F.col("formals"))).withColumn("folded", F.upper("label"))
 
 
 def signature(formals) -> F.Column:
@@ -122,23 +146,35 @@ def signature(formals) -> F.Column:
     return F.array_join(F.transform(F.coalesce(formals, F.array().cast("array<string>")), lambda x: F.upper(F.regexp_replace(x, r"[\s.]", ""))), ",")
 
 
-def documented_functions(routines: DataFrame, labels: DataFrame | None = None, bodies: bool = True) -> DataFrame:
+def resolved(symbols: DataFrame) -> DataFrame:
+    """Definitions with a description: their own, or that of the documented declaration of their module, name and signature."""
+    own = symbols.where(~F.col("stub") & F.col("description").isNotNull())
+    silent = symbols.where(~F.col("stub") & F.col("description").isNull()).drop("description")
+    apart = symbols.where(F.col("declares") & F.col("description").isNotNull())
+    said = apart.groupBy("module", "label", "sig").agg(F.max(F.struct(F.length("description"), "description"))["description"].alias("description"))
+    return own.unionByName(silent.join(bounded(said), ["module", "label", "sig"]).select(*own.columns))
+
+
+def documented_functions(routines: DataFrame, labels: DataFrame | None = None, bodies: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Code-description pairs: file_id, label, kind, formals, line, declared, body (null unless wanted), description.
 
     ``labels`` are separate declarations (file_id, label, formals); ``declared`` says whether one matched.
     """
-    symbols = symbol_table(routines, bodies).withColumn("sig", signature(F.col("formals"))).withColumn("folded", F.upper("label"))
-    # Documentation of one (file, name, signature) is pooled, whichever of its declarations carries it.
-    pooled = symbols.groupBy("file_id", "label", "folded", "sig").agg(
-        F.max("kind").alias("kind"), F.max("formals").alias("formals"), F.min("line").alias("line"),
-        F.array_distinct(F.flatten(F.collect_set("docs"))).alias("docs"), F.max("body").alias("body"),
+    scratch = scratch or Scratch(routines.sparkSession)
+    pairs = resolved(scratch.keep(symbol_table(routines, bodies)))
+    once = pairs.groupBy("file_id", "label", "folded", "sig").agg(
+        F.max("kind").alias("kind"), F.max("formals").alias("formals"), F.min("line").alias("line"), F.max("body").alias("body"),
+        F.max(F.struct(F.length("description"), "description"))["description"].alias("description"),
     )
     if labels is None:
-        joined = pooled.withColumn("declared", F.lit(None).cast("boolean"))
+        joined = once.withColumn("declared", F.lit(None).cast("boolean"))
     else:
         known = labels.where(F.col("file_id").isNotNull()).select("file_id", F.upper(F.trim("label")).alias("folded"), signature(F.col("formals")).alias("sig")).distinct().withColumn("declared", F.lit(True))
-        joined = pooled.join(known, ["file_id", "folded", "sig"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
-    told = joined.select("file_id", "label", "kind", "formals", "line", "declared", "body", "docs").mapInPandas(
-        _tell, "file_id bigint, label string, kind string, formals array<string>, line int, declared boolean, body string, description string"
-    )
-    return told.where(F.col("description").isNotNull())
+        joined = once.join(known, ["file_id", "folded", "sig"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
+    return joined.select("file_id", "label", "kind", "formals", "line", "declared", "body", "description")
+
+
+def documented_names(routines: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(file_id, label) of the same pairs, once each."""
+    scratch = scratch or Scratch(routines.sparkSession)
+    return resolved(scratch.keep(symbol_table(routines, bodies=False))).select("file_id", "label").distinct()

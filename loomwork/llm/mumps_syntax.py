@@ -21,6 +21,7 @@ COMMANDS = {
 NEEDS_ARGUMENT = {"S", "SET", "G", "GOTO", "M", "MERGE", "O", "OPEN", "R", "READ", "U", "USE", "X", "XECUTE", "J", "JOB", "C", "CLOSE"}
 NO_ARGUMENT = {"E", "ELSE", "HALT", "TC", "TCOMMIT", "TRE", "TRESTART"}
 
+VERB = re.compile("[A-Za-z]+")
 LABEL = re.compile(r"(%[A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*|[0-9]+)")
 FORMALS = re.compile(r"\(\s*((?:%|[A-Za-z])[A-Za-z0-9]*(?:\s*,\s*(?:%|[A-Za-z])[A-Za-z0-9]*)*)?\s*\)")
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?:\s|$)|={7}\s*$")
@@ -30,48 +31,49 @@ DANGLING = set("+-*/\\#_=<>&!?'@^$,:(")
 VENDOR = re.compile(r"\$\$\$|(?<![A-Za-z0-9.%])[A-Za-z%][A-Za-z0-9]*\.[A-Za-z]|\.\.[A-Za-z]|##")
 
 
+LITERAL = re.compile(r'"(?:[^"]|"")*"')
+NO_OPERAND = re.compile(r"(?<![<>'=])={2,}|\(\)\(|=>|[<>]{3,}")
+
+
 def lines_of(src: str) -> list[str]:
     """Lines without their ends; CRLF, LF and CR all end a line."""
     return re.split(r"\r\n|\n|\r", src)
 
 
+ARGUMENT_PART = re.compile(r'[^"() \t;\x00-\x1f{}`~\x7f-\U0010ffff]+|"(?:[^"]|"")*"(?!")')
+
+
 def scan_argument(text: str, at: int) -> tuple[int, str | None]:
     """End of the argument list that starts at ``at`` (a blank outside quotes and parentheses ends it)."""
-    stack: list[str] = []
-    n = len(text)
+    depth, n = 0, len(text)
     while at < n:
+        if m := ARGUMENT_PART.match(text, at):
+            at = m.end()
+            continue
         c = text[at]
         if c == '"':
-            at += 1
-            while True:
-                close = text.find('"', at)
-                if close < 0:
-                    return n, "unterminated literal"
-                if text[close + 1 : close + 2] == '"':
-                    at = close + 2
-                    continue
-                at = close + 1
-                break
-            continue
+            return n, "unterminated literal"
         if c == "(":
-            stack.append(c)
+            depth += 1
         elif c == ")":
-            if not stack:
+            if not depth:
                 return at, "unbalanced delimiter"
-            stack.pop()
-        elif c in " \t" and not stack:
-            return at, None
-        elif c == ";" and not stack:
-            return at, "comment inside an argument"
-        elif ord(c) > 126 or c in "{}`~" or (ord(c) < 32 and c != "\t"):
+            depth -= 1
+        elif c in " \t":
+            if not depth:
+                return at, None
+        elif c == ";":
+            if not depth:
+                return at, "comment inside an argument"
+        else:
             return at, "character outside literals"
         at += 1
-    return n, "unbalanced delimiter" if stack else None
+    return n, "unbalanced delimiter" if depth else None
 
 
 def argument_fault(command: str, arg: str) -> str | None:
     """Faults of one argument list that the stack alone cannot see."""
-    bare = re.sub(r'"(?:[^"]|"")*"', '""', arg)
+    bare = LITERAL.sub('""', arg) if '"' in arg else arg
     plain = command in {"W", "WRITE", "R", "READ"}
     if bare[-1:] in DANGLING and not (plain and bare[-1] in "!#"):
         return "premature end"
@@ -81,7 +83,7 @@ def argument_fault(command: str, arg: str) -> str | None:
         return "missing operand"
     if command in {"S", "SET"} and "=" not in bare and not bare.startswith("@"):
         return "missing operand"
-    if re.search(r"(?<![<>'=])={2,}|\(\)\(|=>|[<>]{3,}", bare):
+    if NO_OPERAND.search(bare):
         return "missing operand"
     return None
 
@@ -94,7 +96,7 @@ def commands_fault(text: str, at: int) -> str | None:
             at += 1
         if at >= n or text[at] == ";":
             return None
-        m = re.compile(r"[A-Za-z]+").match(text, at)
+        m = VERB.match(text, at)
         if not m or m.group().upper() not in COMMANDS:
             return "no standard command"
         command = m.group().upper()

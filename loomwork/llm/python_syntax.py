@@ -1,69 +1,123 @@
-"""Lexer with a pushdown stack for Python 3 and JSON, the exact checks that follow it, and Python's functions."""
+"""Lexer with a pushdown stack for Python 3 and JSON, the compiler's check that follows it for Python, and Python's functions."""
 
 from __future__ import annotations
 
 import ast
 import io
-import json
 import re
 import tokenize
 import warnings
 
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?:[ \t]|$)|={7}[ \t]*$")
-PY_TOKEN = re.compile(r"#[^\n]*|(?P<q>(?i:[rbuft]{0,2})(?P<mark>\"\"\"|'''|\"|'))|(?P<open>[(\[{])|(?P<close>[)\]}])|\n|[^\s\"'#(\[{)\]}]|[ \t]+")
-CLOSER = {"(": ")", "[": "]", "{": "}"}
+CLOSER = {"(": ")", "[": "]", "{": "}", "field": "}"}
+PY_CODE = re.compile(r"[^\"'#()\[\]{}\n\\:]+")
+PY_TEXT = {q: re.compile(rf"[^\\\n{{}}{q}]+") for q in "'\""}
+PY_PREFIX = re.compile(r"(?<![0-9A-Za-z_])[rR]?[fF][rR]?\Z")
 
 
-def python_lexer_fault(src: str) -> tuple[int, str] | None:
-    """Unterminated literals, unbalanced delimiters, premature ends and conflict markers, by one pass with a stack."""
-    stack: list[tuple[str, int]] = []
-    at, line, n, fresh = 0, 1, len(src), True
+def python_lexer_fault(text: str) -> tuple[int, str] | None:
+    """Unterminated literals, unbalanced delimiters, premature ends and conflict markers, by one pass with a stack.
+
+    The stack holds open brackets, and of formatted literals the literal, its open field and that field's format: text
+    and code alternate by what is on top. Whatever this pass reports is an error in every Python 3.
+    """
+    stack: list[tuple[str, int, str]] = []  # (bracket, "text", "field" or "format"; its line; quotes)
+    at, line, n, fresh = 0, 1, len(text), True
     while at < n:
-        if fresh and (m := CONFLICT.match(src[at : at + 80].split("\n", 1)[0])):
+        top, _, mark = stack[-1] if stack else ("", 0, "")
+        c = text[at]
+        if top in ("text", "format"):
+            if m := PY_TEXT[mark[0]].match(text, at):
+                at = m.end()
+            elif c == "\\":
+                line += text[at + 1 : at + 2] == "\n"
+                named = re.compile(r"\\N\{[^{}\n]*\}").match(text, at)
+                at = named.end() if named else at + 1 if text[at + 1 : at + 2] in ("{", "}") else at + 2
+            elif c == "{":
+                if top == "text" and text.startswith("{{", at):
+                    at += 2
+                else:
+                    stack.append(("field", line, mark))
+                    at += 1
+            elif c == "}":
+                if top == "format":
+                    del stack[-2:]
+                    at += 1
+                elif text.startswith("}}", at):
+                    at += 2
+                else:
+                    return line, "unbalanced delimiter"
+            elif text.startswith(mark, at):
+                if top == "format":
+                    return line, "unbalanced delimiter"
+                stack.pop()
+                at += len(mark)
+            elif c == "\n" and len(mark) == 1 and top == "text":
+                return line, "unterminated literal"
+            else:
+                line += c == "\n"
+                at += 1
+            continue
+        if fresh and CONFLICT.match(text[at : at + 80].split("\n", 1)[0]):
             return line, "merge conflict marker"
         fresh = False
-        m = PY_TOKEN.match(src, at)
-        if not m:
-            at += 1
-            continue
-        if mark := m.group("mark"):
-            i = m.end()
+        if m := PY_CODE.match(text, at):
+            at = m.end()
+        elif c == "\n":
+            line, at, fresh = line + 1, at + 1, True
+        elif c == "#":
+            end = text.find("\n", at)
+            at = n if end < 0 else end
+        elif c == "\\":
+            line += text[at + 1 : at + 2] == "\n"
+            at += 2
+        elif c in "\"'":
+            mark = c * 3 if text.startswith(c * 3, at) else c
+            prefix, at = text[max(0, at - 3) : at], at + len(mark)
+            if PY_PREFIX.search(prefix):
+                stack.append(("text", line, mark))
+                continue
+            begin = line
             while True:
-                if i >= n or len(mark) == 1 and src[i] == "\n":
-                    return line, "unterminated literal"
-                if src[i] == "\\":
-                    i += 2
-                elif src.startswith(mark, i):
+                stop = text.find(c, at) if len(mark) == 1 else text.find(mark, at)
+                escape = text.find("\\", at, stop if stop >= 0 else n)
+                if escape >= 0 and len(mark) == 1 and "\n" in text[at:escape] or escape < 0 and (stop < 0 or len(mark) == 1 and "\n" in text[at:stop]):
+                    return begin, "unterminated literal"
+                end = escape + 2 if escape >= 0 else stop + len(mark)
+                line += text.count("\n", at, end)
+                at = end
+                if escape < 0:
                     break
-                else:
-                    i += 1
-            line += src.count("\n", at, i)
-            at = i + len(mark)
-            continue
-        if m.group("open"):
-            stack.append((m.group(), line))
-        elif m.group("close"):
-            if not stack or CLOSER[stack[-1][0]] != m.group():
+        elif c in "([{":
+            stack.append((c, line, ""))
+            at += 1
+        elif c in ")]}":
+            if CLOSER.get(top) != c:
                 return line, "unbalanced delimiter"
             stack.pop()
-        elif m.group() == "\n":
-            line, fresh = line + 1, True
-        at = m.end()
-    return (stack[-1][1], "unbalanced delimiter: premature end") if stack else None
+            at += 1
+        else:  # a colon, which begins the format of a field
+            if top == "field":
+                stack.append(("format", line, mark))
+            at += 1
+    if not stack:
+        return None
+    return stack[-1][1], "unterminated literal" if stack[-1][0] in ("text", "format") else "unbalanced delimiter: premature end"
 
 
 def python_fault(src: str) -> tuple[int, str] | None:
-    """The lexer names the fault; the compiler's grammar has the last word, so that no odd but valid file is flagged."""
+    """The lexer decides on what a lexer can see; the grammar of what it lets pass is left to the compiler."""
     text = src.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-    seen = python_lexer_fault(text)
+    if seen := python_lexer_fault(text):
+        return seen
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(text, "source", "exec", dont_inherit=True)
     except (SyntaxError, ValueError) as e:
-        return seen or (getattr(e, "lineno", None) or 1, "grammar")
+        return getattr(e, "lineno", None) or 1, "grammar"
     except (RecursionError, MemoryError):
-        return deep_fault(text, seen)
+        return deep_fault(text)
     return None
 
 
@@ -98,110 +152,69 @@ def shallow(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(out), taken
 
 
-def deep_fault(text: str, seen: tuple[int, str] | None) -> tuple[int, str] | None:
+def deep_fault(text: str) -> tuple[int, str] | None:
     """The verdict on a text too deep for one compilation: by its shallow form, then by each statement taken out of it.
 
-    The parser is done with a statement before RecursionError rises, so that one is good. Of a statement that the
-    parser itself gives up (MemoryError: some thousand nested operators) the lexer's verdict is the last word.
+    The parser is done with a statement before RecursionError rises, so that one is good. A statement that the parser
+    itself gives up (MemoryError: some thousand nested operators) is valid, as the lexer found no fault in it.
     """
     try:
         form, taken = shallow(text)
     except (tokenize.TokenError, SyntaxError) as e:
-        return seen or (getattr(e, "lineno", None) or e.args[1][0], "grammar")
+        return getattr(e, "lineno", None) or e.args[1][0], "grammar"
     for line, part, flags in [(1, form, 0), *((line, part, ast.PyCF_ONLY_AST) for line, part in taken)]:
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 compile(part, "source", "exec", flags, dont_inherit=True)
         except (SyntaxError, ValueError) as e:
-            return seen or (line - 1 + (getattr(e, "lineno", None) or 1), "grammar")
-        except RecursionError:
+            return line - 1 + (getattr(e, "lineno", None) or 1), "grammar"
+        except (RecursionError, MemoryError):
             continue
-        except MemoryError:
-            if seen:
-                return seen
     return None
 
 
-JSON_TOKEN = re.compile(r'(?P<string>"(?:[^"\\\x00-\x1f]|\\.)*")|(?P<open>[\[{])|(?P<close>[\]}])|(?P<rest>[^\s"\[\]{}]+)')
-
-
-def json_lexer_fault(src: str) -> tuple[int, str] | None:
-    stack, at, line, last = [], 0, 1, 0
-    for text in src.split("\n"):
-        if CONFLICT.match(text.rstrip("\r")):
-            return line, "merge conflict marker"
-        line += 1
-    while at < len(src):
-        m = JSON_TOKEN.match(src, at)
-        if m:
-            if m.group("open"):
-                stack.append(m.group())
-            elif m.group("close"):
-                if not stack or CLOSER[stack.pop()] != m.group():
-                    return src.count("\n", 0, at) + 1, "unbalanced delimiter"
-            at = last = m.end()
-        elif src[at] == '"':
-            return src.count("\n", 0, at) + 1, "unterminated literal"
-        else:
-            at += 1
-    return (src.count("\n", 0, last) + 1, "unbalanced delimiter: premature end") if stack or not last else None
-
-
-def _no_constant(name: str):
-    raise ValueError(name)
+JSON_PART = re.compile(r'[ \t\n\r]*(?:([\[{\]},:])|("(?:[^"\\\x00-\x1f]|\\.)*"?|[^\s"\[\]{},:]+))')
+# What a JSON string, number or name looks like.
+JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
+JSON_VALUE = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null")
 
 
 def json_fault(src: str) -> tuple[int, str] | None:
-    """An empty text is no JSON value. NaN and Infinity are not JSON."""
-    seen = json_lexer_fault(src)
-    try:
-        json.loads(src, parse_constant=_no_constant)
-    except ValueError as e:
-        return seen or (getattr(e, "lineno", None) or 1, "grammar")
-    except RecursionError:
-        return seen or deep_json_fault(src)
-    return None
-
-
-JSON_PART = re.compile(r'[ \t\n\r]*(?:([\[{\]},:])|("(?:[^"\\\x00-\x1f]|\\.)*"|[^\s"\[\]{},:]+))')
-
-
-def deep_json_fault(src: str) -> tuple[int, str] | None:
-    """The grammar of JSON with an explicit stack, for nesting that the reader's recursion does not reach."""
+    """The grammar of JSON on a pushdown stack, so at any depth. An empty text is no value; NaN and Infinity are none."""
     stack, at, want = [], 0, "value"  # want: value, first (value or end), name, only (name or end), colon, next
+    line = lambda at: src.count("\n", 0, at) + 1
     while m := JSON_PART.match(src, at):
         mark, leaf = m.groups()
-        good = True
-        if want in ("value", "first") and (leaf or mark in ("[", "{")):
-            if leaf:
-                try:
-                    json.loads(leaf, parse_constant=_no_constant)
-                except ValueError:
-                    good = False
-                want = "next"
+        begin, at = m.start(m.lastindex), m.end()
+        if leaf:
+            if leaf[0] == '"':
+                good = want in ("value", "first", "name", "only") and JSON_STRING.fullmatch(leaf)
+                if not good and (len(leaf) == 1 or leaf[-1] != '"'):
+                    return line(begin), "unterminated literal"
             else:
-                stack.append(mark)
-                want = "first" if mark == "[" else "only"
-        elif want in ("name", "only") and leaf and leaf[0] == '"':
-            try:
-                json.loads(leaf)
-            except ValueError:
-                good = False
-            want = "colon"
-        elif want == "colon" and mark == ":":
+                good = want in ("value", "first") and JSON_VALUE.fullmatch(leaf)
+            if not good:
+                row = src[src.rfind("\n", 0, begin) + 1 :].split("\n", 1)[0]
+                return line(begin), "merge conflict marker" if CONFLICT.match(row.rstrip("\r")) else "grammar"
+            want = "colon" if want in ("name", "only") else "next"
+        elif mark in "[{" and want in ("value", "first"):
+            stack.append(mark)
+            want = "first" if mark == "[" else "only"
+        elif mark == ":" and want == "colon":
             want = "value"
-        elif want == "next" and stack and mark == ",":
+        elif mark == "," and want == "next" and stack:
             want = "value" if stack[-1] == "[" else "name"
-        elif stack and mark == CLOSER[stack[-1]] and want in ("next", "first", "only"):
+        elif mark in "]}" and (not stack or mark != CLOSER[stack[-1]]):
+            return line(begin), "unbalanced delimiter"
+        elif mark in "]}" and want in ("next", "first", "only"):
             stack.pop()
             want = "next"
         else:
-            good = False
-        if not good:
-            return src.count("\n", 0, m.start(m.lastindex)) + 1, "grammar"
-        at = m.end()
-    return None if want == "next" and not stack and not src[at:].strip(" \t\n\r") else (src.count("\n", 0, at) + 1, "grammar")
+            return line(begin), "grammar"
+    if src[at:].strip(" \t\n\r"):
+        return line(at), "grammar"
+    return None if want == "next" and not stack else (line(len(src.rstrip())), "unbalanced delimiter: premature end" if stack or not src.strip() else "grammar")
 
 
 def python_functions(src: str):
@@ -225,7 +238,7 @@ def python_functions(src: str):
     def walk(node: ast.AST, owner: str):
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.ClassDef):
-                yield from walk(child, child.name)
+                yield from walk(child, f"{owner}.{child.name}" if owner else child.name)
             elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 yield one(child, owner)
                 yield from walk(child, "")
@@ -261,6 +274,7 @@ def python_functions(src: str):
         return {
             "name": f"{owner}.{f.name}" if owner else f.name, "kind": "method" if owner else "function", "formals": formals,
             "line": f.lineno, "docs": docs, "body": "\n".join(lines[top - 1 : f.end_lineno]),
+            "declares": any(getattr(d, "id", getattr(d, "attr", "")) == "overload" for d in f.decorator_list),
         }
 
     yield from walk(tree, "")

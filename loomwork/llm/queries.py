@@ -20,8 +20,7 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = code_docs.documented_functions(table(spark, d, "parsed_routines"), table(spark, d, "routine_labels"), bodies=False)
-    return pairs.select("file_id", "label").distinct()
+    return code_docs.documented_names(table(spark, d, "parsed_routines"))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:

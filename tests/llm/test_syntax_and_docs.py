@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from loomwork.llm import code_docs, syntax
+from loomwork.llm import code_docs, python_syntax, syntax
 from loomwork.llm.js_syntax import js_fault, js_functions
 from loomwork.llm.mumps_syntax import entry_points, mumps_fault
 from loomwork.llm.python_syntax import json_fault, python_fault, python_functions
@@ -175,3 +179,72 @@ def test_faults_after_deep_json():
     for bad in ("nul", "NaN", "01", "1 2", "1,", '"\\q"', '{"a" 1}', "{1: 2}", '{"a": 1,}'):
         assert json_fault(deep.replace("null", bad)) == (1, "grammar"), bad
     assert json_fault(deep + " 1") == (1, "grammar")
+
+
+def _files(spark, *rows):
+    return spark.createDataFrame([(i, repo, path, src, None, None) for i, (repo, path, src) in enumerate(rows, 1)], "file_id bigint, repo string, path string, src string, name string, non_m_syntax boolean")
+
+
+STUB = """class Shape:
+    class Part:
+        def cut(self, edge): "Cuts the outline along one given edge and returns both halves."
+    def area(self): "Computes the covered surface in square metres."
+@overload
+def turn(angle): "Turns everything around the middle by an angle in degrees."
+@overload
+def turn(angle, axis): "Turns everything around a stated axis through the middle."
+def lost(x): "Belongs to nothing that any other file defines at all."
+"""
+CODE = """class Shape:
+    class Part:
+        def cut(self, edge):
+            return edge
+    def area(self):
+        # todo
+        return 1
+def turn(angle, axis):
+    return axis
+def turn_back(angle):
+    return angle
+def area(self):
+    return 2
+"""
+
+
+def test_declarations_document_definitions_of_other_files(spark):
+    df = _files(spark, ("r", "geo/shape.py", CODE), ("r", "geo/shape.pyi", STUB), ("other", "geo/shape.py", CODE), ("r", "geo/other.py", CODE))
+    got = {(r["file_id"], r["label"]): r["description"] for r in code_docs.documented_functions(df).collect()}
+    assert got == {
+        (1, "Shape.Part.cut"): "Cuts the outline along one given edge and returns both halves.", (1, "Shape.area"): "Computes the covered surface in square metres.",
+        (1, "turn"): "Turns everything around a stated axis through the middle.",
+    }
+    assert {(r["file_id"], r["label"]) for r in code_docs.documented_names(df).collect()} == set(got)
+    assert code_docs.documented_names(df.where("path NOT LIKE '%.pyi'")).count() == 0
+
+
+@pytest.mark.parametrize("src", ['f"{x!r:>{w}}"', 'f"{x["a"]}"', "f'{a:{b}}' + f'{{}}'", "f'{x:{y:{z}}}'", "rf'\\{x}'", 'x = """a\n=======\n"""', "x = 'a\\\nb'", "r'\\''", "f'{d[\"a:b\"]}'", "# it's (fine"])
+def test_odd_but_valid_literals(src):
+    compile(src, "s", "exec")
+    assert python_syntax.python_lexer_fault(src) is None
+
+
+@pytest.mark.parametrize("src", ["f'{x'", "f'}'", "=======", "'a\nb'", '"""a', "(1,\n2", "[1)", "f'{(x}'", ")"])
+def test_faults_a_lexer_sees(src):
+    with pytest.raises(SyntaxError):
+        compile(src, "s", "exec")
+    assert python_syntax.python_lexer_fault(src)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text('[]{}:,"\\u0a1-.e tn\n', max_size=12))
+def test_json_grammar_agrees_with_the_standard_reader(src):
+    try:
+        json.loads(src, parse_constant=lambda n: int(n))
+        good = True
+    except ValueError:
+        good = False
+    assert (python_syntax.json_fault(src) is None) == good
+
+
+def test_deep_json():
+    assert python_syntax.json_fault("[" * 100_000 + "]" * 100_000) is None and python_syntax.json_fault("[" * 100_000 + "]" * 99_999)
