@@ -203,21 +203,20 @@ def compact(kmers: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     enter = nodes.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("code"))).select("code", "prev")
     leave = nodes.where(F.col("next").isNotNull()).select(F.col("code").alias("prev"), F.col("next").alias("code"), F.col("gap").cast("long").alias("offset"))
     links = scratch.keep(enter.join(leave, ["prev", "code"]).select("code", F.col("prev").alias("head"), "offset"))
-    most = links.count()
-    starts = nodes.select("code").join(links.select("code"), "code", "left_anti").select("code", F.col("code").alias("head"), F.lit(0).cast("long").alias("offset"))
-    done, active = scratch.keep(starts), links
-    rounds = 0
-    while not active.isEmpty():
+    linked = links.select(F.col("code").alias("head"), F.lit(False).alias("ended"))
+    first = scratch.keep(links.join(linked, "head", "left").select("code", "head", "offset", F.coalesce("ended", F.lit(True)).alias("ended")))  # of one path's pointers each leads elsewhere
+    starts = nodes.select("code").join(links.select("code"), "code", "left_anti").select("code", F.col("code").alias("head"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("ended"))
+    done, active = starts.unionByName(first.where("ended")), first.where("NOT ended")
+    left, most, rounds = active.count(), links.count(), 0
+    while left:
         # Pointers of one path lead to different k-mers until they reach its head, and leave the loop there.
-        up = active.unionByName(done).select(F.col("code").alias("head"), F.col("head").alias("up"), F.col("offset").alias("more"))
-        jumped = scratch.keep(active.join(up, "head").select("code", F.col("up").alias("head"), (F.col("offset") + F.col("more")).alias("offset")))
-        ended = skew_join(jumped, starts.select(F.col("code").alias("head")), ["head"], "left_semi", hot=written_hot_keys(jumped, ["head"]))
-        following = scratch.keep(skew_join(jumped, starts.select(F.col("code").alias("head")), ["head"], "left_anti", hot=written_hot_keys(jumped, ["head"])))
-        done = done.unionByName(ended)
-        active, rounds = following, rounds + 1
-        if 1 << rounds > 2 * most + 2:  # a ring has no head: its k-mers stand alone
-            return done.unionByName(active.select("code", F.col("code").alias("head"), F.lit(0).cast("long").alias("offset")))
-    return done
+        up = active.unionByName(done).select(F.col("code").alias("head"), F.col("head").alias("up"), F.col("offset").alias("more"), F.col("ended").alias("there"))
+        jumped = scratch.keep(active.join(up, "head").select("code", F.col("up").alias("head"), (F.col("offset") + F.col("more")).alias("offset"), F.col("there").alias("ended")))
+        done, active = done.unionByName(jumped.where("ended")), jumped.where("NOT ended")
+        left, rounds = active.count(), rounds + 1
+        if left and 1 << rounds > most:  # a ring has no head: its k-mers stand alone
+            return done.unionByName(active.withColumn("head", F.col("code")).withColumn("offset", F.lit(0).cast("long"))).drop("ended")
+    return done.drop("ended")
 
 
 def path_rows(texts: DataFrame, scratch: Scratch, length: int, window: int) -> DataFrame:
