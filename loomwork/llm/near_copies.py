@@ -2,15 +2,17 @@
 
 Records with equal sequences of words form a class; all further work is on classes, memberships stay aside.
 
-1. Every class has a bit fingerprint: each triple's hash flips one of 256 bits. Two sets that differ in d triples have
-   fingerprints that differ in at most d bits, so "within the Hamming radius" never loses a pair.
+1. Every class has a bit fingerprint of at least as many bits as triples, and at least 256: each triple's hash flips
+   one bit. Two sets that differ in d triples have fingerprints that differ in at most d bits, so "within the Hamming
+   radius" never loses a pair. Folding a fingerprint in half gives that of half its width, so any two compare.
 2. The codes of a class are permuted into one global order, rarest first, and its leading block of
    n - ceil(t n) + 1 codes are its join keys: two sets of Jaccard similarity t or more share a code of these blocks.
    Codes that do not occur on both sides of the train/evaluation border come first in that order and need no row.
 3. Candidates of matching size within the Hamming radius (1 - t) / (1 + t) (a + b) are verified on the sets.
 
 A fixed number of fingerprint segments cannot give this problem's result: at similarity 0.7 a fifth of the bits of a
-similarity hash differ, so equal segments are either too short to select or miss pairs. Hence the permuted blocks.
+similarity hash differ, so equal segments are either too short to select or miss pairs (``segment_recall`` measures it;
+figures in the README). Hence the permuted blocks, which miss none.
 
 Defined results: records without a split, of fewer than three words or with null text take part in no pair; a message
 without role is not a system message; repeated deliveries count once, by their earliest arrival.
@@ -18,6 +20,8 @@ without role is not a system message; repeated deliveries count once, by their e
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,13 @@ from ..sources.scratch import Scratch
 
 THRESHOLD = 0.7
 WORDS = 3
+#: 64-bit words of the narrowest fingerprint.
 SLOTS = 4
-#: Classes looked at to find codes too frequent for one task, and the share of them that makes a code frequent.
-SAMPLE, FREQUENT = 2000, 0.01
+#: Classes looked at to find codes too frequent for one task, and the share of them that makes a code frequent: a code
+#: in 2 % of all classes is missed with a chance under one in a million, so no task holds more of one code.
+SAMPLE, FREQUENT = 2000, 0.005
+#: Frequent codes that are broadcast, the most frequent first; any further one is treated like the others.
+MOST_FREQUENT = 100_000
 
 
 def split_name(split) -> F.Column:
@@ -58,15 +66,20 @@ def triple_codes(norm) -> F.Column:
     return F.array_distinct(F.get(sequences, F.lit(0)))
 
 
-def fingerprint(codes) -> list[F.Column]:
-    """Words of the bit fingerprint: every code flips one bit."""
-    def slot(k: int):
-        return F.aggregate(
-            F.filter(codes, lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(SLOTS - 1)) == k), F.lit(0).cast("bigint"),
-            lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))),
-        )
+def fingerprint(codes) -> F.Column:
+    """Words of the bit fingerprint: every code flips one bit; as many words as hold a bit per code, a power of two."""
+    words = F.call_function("shiftleft", F.lit(SLOTS), F.greatest(F.ceil(F.log2(F.size(codes) / F.lit(64.0 * SLOTS))), F.lit(0)).cast("int"))
+    place = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(words - 1)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))
+    flipped = lambda k: F.aggregate(F.filter(codes, lambda c: place(c) == k), F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+    return F.transform(F.sequence(F.lit(0), words - 1), flipped)
+
 
-    return [slot(k).alias(f"f{k}") for k in range(SLOTS)]
+def bits_apart(a, b) -> F.Column:
+    """Hamming distance of two fingerprints, the wider one folded; sizes of similar sets differ by less than one fold."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    a, b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
 
 
 def classes_of(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -78,10 +91,12 @@ def classes_of(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     train = F.col("split") == "train"
     texts = raw.groupBy("kind", "tid").agg(F.first("norm").alias("norm"), F.max(train).alias("t"), F.max(~train).alias("e"))
     coded = texts.select("kind", "tid", "t", "e", triple_codes(F.col("norm")).alias("codes")).where(F.size("codes") > 0)
-    classes = scratch.keep(coded.select("kind", "tid", F.monotonically_increasing_id().alias("cid"), "t", "e", F.size("codes").alias("n"), "codes", *fingerprint(F.col("codes"))))
+    classes = scratch.keep(coded.select("kind", "tid", F.monotonically_increasing_id().alias("cid"), "t", "e", F.size("codes").alias("n"), "codes", fingerprint(F.col("codes")).alias("bits")))
     late = F.coalesce(F.col("arrived"), F.lit("9999-01-01").cast("timestamp"))
-    members = raw.groupBy("kind", "key").agg(F.min(F.struct(late.alias("at"), "split", "source", "tid")).alias("m")).select("kind", "key", "m.split", "m.source", "m.tid")
-    placed = scratch.keep(skew_join(members, classes.select("kind", "tid", "cid"), ["kind", "tid"]).drop("tid"))
+    chosen = raw.groupBy("kind", "key").agg(F.min(F.struct(late.alias("at"), "split", "source", "tid")).alias("m")).select("kind", "key", "m.split", "m.source", "m.tid")
+    written = scratch.keep(chosen)
+    placed = scratch.keep(skew_join(written, classes.select("kind", "tid", "cid"), ["kind", "tid"], hot=[h[:2] for h in written_hot_keys(written, ["kind", "tid"])]).drop("tid"))
+    scratch.drop(written)
     return placed, classes.drop("kind", "tid")
 
 
@@ -91,12 +106,12 @@ def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THR
     role = F.col("t").cast("bigint") + F.col("e").cast("bigint") * 2
     rows = classes.select((F.col("cid") * 4 + role).alias("who"), F.explode("codes").alias("code")).select("who", F.shiftrightunsigned("code", 24).alias("key"))
     # The order of keys decides speed only, so a bounded sample may say which are too frequent for one task.
-    sample = classes.orderBy("cid").limit(SAMPLE)
+    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE)
     frequent = sample.select(F.explode("codes").alias("c")).groupBy(F.shiftrightunsigned("c", 24).alias("key")).agg(F.count("*").alias("often")).where(F.col("often") > SAMPLE * FREQUENT)
-    frequent = scratch.keep(frequent)  # at most 1 / FREQUENT times the mean number of codes
+    frequent = scratch.keep(frequent.orderBy(F.desc("often"), "key").limit(MOST_FREQUENT))
     rare = rows.join(F.broadcast(frequent), "key", "left_anti")
     has = lambda bit: F.col("who").bitwiseAND(F.lit(bit)) > 0
-    # Counts over a window, not an aggregate joined back: all codes pass through one shuffle, and no key is frequent.
+    # Counts over a window, not an aggregate joined back: all codes pass through one shuffle, and no key is in more than 2 % of the classes.
     same = Window.partitionBy("key")
     both = rare.select("who", "key", F.count_if(has(1)).over(same).alias("ct"), F.count_if(has(2)).over(same).alias("ce")).where((F.col("ct") > 0) & (F.col("ce") > 0))
     # One number orders all keys: the magnitude of the pairs a key would make, then the key.
@@ -106,16 +121,15 @@ def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THR
     common = rows.join(F.broadcast(frequent), "key").select("who", (shifted(F.lit(1 << 12) + F.col("often")) + F.col("key")).alias("x"))
     ordered = weighed.unionByName(common).groupBy("who").agg(F.array_sort(F.collect_list("x")).alias("alive")).withColumn("cid", F.shiftrightunsigned("who", 2))
     keep = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("alive")), F.lit(0)).cast("int")
-    shape = [f"f{k}" for k in range(SLOTS)]
     lead = F.transform(F.slice("alive", 1, keep), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
-    blocks = ordered.join(classes.select("cid", "n", "t", "e", *shape), "cid").select("cid", "n", "t", "e", *shape, F.explode(lead).alias("key"))
+    blocks = ordered.join(classes.select("cid", "n", "t", "e", "bits"), "cid").select("cid", "n", "t", "e", "bits", F.explode(lead).alias("key"))
     blocks = scratch.keep(blocks)
-    of = lambda side, to: blocks.where(side).select("key", *[F.col(c).alias(c + to) for c in ("cid", "n", *shape)])
-    met = skew_join(of("t", "_t"), of("e", "_e"), ["key"])
+    of = lambda side, to: blocks.where(side).select("key", *[F.col(c).alias(c + to) for c in ("cid", "n", "bits")])
+    met = skew_join(of("t", "_t"), of("e", "_e"), ["key"], hot=[h[:1] for h in written_hot_keys(blocks, ["key"])])
     smaller, larger = F.least("n_e", "n_t"), F.greatest("n_e", "n_t")
     radius = (F.col("n_e") + F.col("n_t")) * (1 - threshold) / (1 + threshold) + 1e-6
-    apart = sum((F.bit_count(F.col(f"{f}_e").bitwiseXOR(F.col(f"{f}_t"))) for f in shape), F.lit(0))
-    near = scratch.keep(met.where((smaller >= larger * threshold - 1e-9) & (apart <= radius)).select("cid_e", "cid_t").distinct())
+    apart = bits_apart(F.col("bits_e"), F.col("bits_t"))
+    near = scratch.keep(met.where(smaller >= larger * threshold - 1e-9).where(apart <= radius).select("cid_e", "cid_t").distinct())
     needed = near.select(F.col("cid_e").alias("cid")).union(near.select("cid_t")).distinct()
     sets = classes.join(needed, "cid", "left_semi").select("cid", "codes")
     side = lambda to: sets.select(F.col("cid").alias("cid" + to), F.col("codes").alias("codes" + to))
@@ -125,20 +139,56 @@ def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THR
     return scratch.keep(pairs.select("cid_e", "cid_t", alike.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12))
 
 
+def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ev = members.where(F.col("split") != "train").select("kind", F.col("key").alias("key_e"), F.col("split").alias("split_e"), F.col("source").alias("source_e"), F.col("cid").alias("cid_e"))
+    return ev, members.where(F.col("split") == "train").select(F.col("key").alias("key_t"), F.col("source").alias("source_t"), F.col("cid").alias("cid_t"))
+
+
 def cross_split_pairs(records: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, key_e, split_e, source_e, key_t, source_t, similarity) of every evaluation and train record that match."""
     scratch = scratch or Scratch(records.sparkSession)
     members, classes = classes_of(records, scratch)
     pairs = similar_classes(classes, scratch, threshold)
-    ev = members.where(F.col("split") != "train").select("kind", F.col("key").alias("key_e"), F.col("split").alias("split_e"), F.col("source").alias("source_e"), F.col("cid").alias("cid_e"))
-    tr = members.where(F.col("split") == "train").select(F.col("key").alias("key_t"), F.col("source").alias("source_t"), F.col("cid").alias("cid_t"))
+    ev, tr = _sides(members)
     hot = [(k,) for (k, *_) in written_hot_keys(members, ["cid"])]
     return skew_join(tr, skew_join(ev, pairs, ["cid_e"], hot=hot), ["cid_t"], hot=hot).select("kind", "key_e", "split_e", "source_e", "key_t", "source_t", "similarity")
 
 
-def overlap_report(pairs: DataFrame) -> DataFrame:
-    """Per kind, split and source of the evaluation record: records that recur, those exactly, pairs, highest similarity."""
-    per = pairs.groupBy("kind", "split_e", "source_e", "key_e").agg(F.count("*").alias("pairs"), F.max("similarity").alias("most"))
-    return per.groupBy("kind", F.col("split_e").alias("split"), F.col("source_e").alias("source")).agg(
+def overlap_report(records: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Per kind, split and source of the evaluation record: records that recur, those exactly, pairs, highest similarity.
+
+    Pairs are counted by classes and their members, never formed.
+    """
+    scratch = scratch or Scratch(records.sparkSession)
+    members, classes = classes_of(records, scratch)
+    ev, tr = _sides(members)
+    held = tr.groupBy("cid_t").agg(F.count("*").alias("held"))
+    similar = similar_classes(classes, scratch, threshold)
+    per = skew_join(similar, held, ["cid_t"], hot=[h[:1] for h in written_hot_keys(similar, ["cid_t"])]).groupBy("cid_e").agg(F.sum("held").alias("pairs"), F.max("similarity").alias("most"))
+    return skew_join(ev, per, ["cid_e"], hot=[(k,) for (k, *_) in written_hot_keys(members, ["cid"])]).groupBy("kind", F.col("split_e").alias("split"), F.col("source_e").alias("source")).agg(
         F.count("*").alias("records"), F.count_if(F.col("most") >= 1 - 1e-12).alias("exact_records"), F.sum("pairs").alias("pairs"), F.round(F.max("most"), 6).alias("highest_similarity")
     )
+
+
+def segment_recall(texts_e: list[str], texts_t: list[str], segments: int, threshold: float = THRESHOLD, bits: int = 64) -> tuple[float, float]:
+    """(recall, share of all pairs that become candidates) of joining equal ``segments`` of a similarity hash: what the
+    plain form of the method would give on these texts, by brute force."""
+    from xxhash import xxh64_intdigest
+
+    def shape(text: str):
+        w = re.findall("[a-z0-9]+", text.lower())
+        codes = {xxh64_intdigest(" ".join(x)) for x in zip(*[w[k:] for k in range(WORDS)])}
+        votes = [sum(1 if c >> i & 1 else -1 for c in codes) for i in range(bits)]
+        h, width = sum((v > 0) << i for i, v in enumerate(votes)), bits // segments
+        return codes, [h >> k * width & (1 << width) - 1 for k in range(segments)]
+
+    left, right = [x for x in map(shape, texts_e) if x[0]], [x for x in map(shape, texts_t) if x[0]]
+    alike = met = both = 0
+    for a, ha in left:
+        for b, hb in right:
+            same = any(p == q for p, q in zip(ha, hb))
+            met += same
+            if a != b and len(a & b) >= threshold * len(a | b):
+                alike += 1
+                both += same
+    return (both / alike if alike else 1.0), met / max(1, len(left) * len(right))

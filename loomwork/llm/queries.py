@@ -46,7 +46,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return near_copies.overlap_report(near_copies.cross_split_pairs(_records(spark, d)))
+    return near_copies.overlap_report(_records(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -105,7 +105,7 @@ def test_near_copies_of_nothing_and_of_nulls(spark):
     recs = near_copies.task_records(t).unionByName(near_copies.chat_records(chats))
     pairs = near_copies.cross_split_pairs(recs)
     assert {(r["kind"], r["key_e"], r["key_t"]) for r in pairs.collect()} == {("task", 2, 1), ("sft", 2, 1)}
-    assert {(r["kind"], r["split"], r["records"]) for r in near_copies.overlap_report(pairs).collect()} == {("task", "validation", 1), ("sft", "test", 1)}
+    assert {(r["kind"], r["split"], r["records"]) for r in near_copies.overlap_report(recs).collect()} == {("task", "validation", 1), ("sft", "test", 1)}
 
 
 def shared(rows, length):
@@ -164,3 +164,23 @@ def test_hot_keys_change_no_result(spark, monkeypatch):
     spans = [(f"R{i}", (f"{i}" * 30 if i % 4 else "") + text * 3 + f"{i * i}" * 9) for i in range(30)] + [("X", "y" * 300)]
     df = tasks(spark, *[(i, n, t, None, None) for i, (n, t) in enumerate(spans)])
     assert {tuple(r) for r in shared_spans.sharing_routines(df).collect()} == shared(spans, 160)
+
+
+def test_long_sets_have_wide_fingerprints_and_lose_no_pair(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(230, 1200))]
+        for k in range(6):
+            rate = rng.choice([0.002, 0.01, 0.02, 0.03])
+            rows.append((i * 10 + k, "train" if k % 2 else "test", " ".join(f"x{rng.randrange(9999)}" if rng.random() < rate else w for w in base[: rng.randrange(int(len(base) * 0.85), len(base) + 1)])))
+    want = expected(rows)
+    assert len(want) > 15 and found(spark, rows) == want
+
+
+def test_equal_segments_of_a_similarity_hash_miss_pairs():
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = [" ".join(f"x{rng.randrange(99)}" if rng.random() < 0.05 else w for w in base) for _ in range(60)]
+    recall, _ = near_copies.segment_recall(texts[:30], texts[30:], 4)
+    assert recall < 0.9
