@@ -1,4 +1,4 @@
-"""Kernels over MUMPS source: lexed lines, routine facts, local variables, naked references and mutants.
+"""Kernels over MUMPS source: lexed lines, routine facts, local variables, naked references and label flags.
 
 Each routine is parsed on its own in an Arrow kernel; everything relational around it stays native. The lexer keeps
 character spans, so edits splice the line they touch. A routine that cannot be read yields a row with ``error``.
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.refs import BLOCKING
+
 # Command names and their abbreviations.
 VERBS = {
     "B": "BREAK", "C": "CLOSE", "D": "DO", "E": "ELSE", "F": "FOR", "G": "GOTO", "H": "HANG", "I": "IF", "J": "JOB", "K": "KILL",
@@ -23,6 +25,8 @@ VERBS = {
 }
 FULL = {**VERBS, **{v: v for v in VERBS.values()}, "HALT": "HALT"}
 LABEL = re.compile(r"(%[A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*|\d+)(\(([^)]*)\))?")
+FORMAL = re.compile(r"[^\s,]+")
+VERB = re.compile("[A-Za-z]+")
 NAME = re.compile(r"%?[A-Za-z][A-Za-z0-9]*|%")
 GLOBAL = re.compile(r"\^(%?[A-Za-z][A-Za-z0-9]*)?(\()?")
 ENTRY = re.compile(r"(\$\$)?(%?[A-Za-z0-9]*)\^(%?[A-Za-z][A-Za-z0-9]*)")
@@ -48,21 +52,12 @@ class Line:
     commands: list[Command] = field(default_factory=list)
 
 
+QUOTED = re.compile(r'"((?:[^"]|"")*)("|$)')
+
+
 def mask(text: str) -> str:
-    """Characters inside quotes as \\x01, the same length; a doubled quote is part of its string."""
-    out, inside, i = [], False, 0
-    while i < len(text):
-        if text[i] == '"':
-            if inside and text[i + 1 : i + 2] == '"':
-                out.append("\x01\x01")
-                i += 2
-                continue
-            inside = not inside
-            out.append('"')
-        else:
-            out.append("\x01" if inside else text[i])
-        i += 1
-    return "".join(out)
+    """Characters inside quotes as \\x01, the same length; a doubled quote is part of its string, an open one reaches the end."""
+    return QUOTED.sub(lambda m: '"' + "\x01" * len(m.group(1)) + m.group(2), text)
 
 
 def run_of(code: str, at: int) -> int:
@@ -98,7 +93,7 @@ def lex(src: str) -> list[Line]:
         at = 0
         if raw[:1] not in ("", " ", "\t", ";") and (lab := LABEL.match(raw)):
             line.label = lab.group(1)
-            line.formals = [x.strip() for x in lab.group(3).split(",") if x.strip()] if lab.group(2) else None
+            line.formals = None if lab.group(2) is None else FORMAL.findall(lab.group(3))
             at = lab.end()
         code = line.code
         while at < len(code) and code[at] in " \t.":
@@ -107,7 +102,7 @@ def lex(src: str) -> list[Line]:
         while at < len(code):
             while at < len(code) and code[at] in " \t":
                 at += 1
-            v = re.compile("[A-Za-z]+").match(code, at)
+            v = VERB.match(code, at)
             if not v:
                 break
             start, at, cond, args = at, v.end(), None, None
@@ -147,6 +142,15 @@ def set_targets(line: Line, c: Command) -> list[tuple[str, bool]]:
     return found
 
 
+#: Characters of a routine's remark that facts keep.
+REMARK = 160
+
+
+def remark(line: Line) -> str:
+    """What follows the code of a line: its comment without the semicolon, cut to REMARK characters."""
+    return line.raw[len(line.code) + 1 :].strip()[:REMARK]
+
+
 def facts_of(name: str, src: str) -> dict:
     """Static facts of one routine."""
     lines = lex(src)
@@ -204,7 +208,6 @@ def facts_of(name: str, src: str) -> dict:
                 flags.add(f"nondet:${nd[0].upper()}")
             flags |= {"nondet:$R"} if re.search(r"\$R(?:ANDOM)?\(", span, re.I) else set()
     scratch = {g for g in read | written if re.match(r"(TMP|XTMP|UTILITY)$", g)}
-    first = src.splitlines()[0] if src.splitlines() else ""
     labels = [x for x in lines if x.label]
     return {
         "name": name, "lines_total": len(lines), "lines_code": code, "lines_comment": comment, "lines_data": data, "lines_blank": blank,
@@ -212,7 +215,7 @@ def facts_of(name: str, src: str) -> dict:
         "globals_read": sorted(read), "globals_written": sorted(written), "scratch_globals": sorted(scratch), "naked_read": naked_read, "naked_write": naked_write,
         "indirection": indirection, "xecute": xecute, "bare_quit_ratio": round(bare / quits, 3) if quits else 0.0, "max_depth": depth,
         "flags": sorted(flags | ({"indirect"} if indirection else set()) | ({"xecute"} if xecute else set())),
-        "first_comment": first.split(";", 1)[1].strip()[:160] if ";" in first else "", "error": None,
+        "first_comment": remark(lines[0]) if lines else "", "error": None,
     }
 
 
@@ -324,157 +327,6 @@ def naked_references(routines: DataFrame) -> DataFrame:
     return routines.select("name", "source").mapInPandas(_per_routine(one, _names(NAKED)), NAKED)
 
 
-# ---- mutants ----------------------------------------------------------------------------------------------------
-# Each operator yields (line number, new line or None to drop it, detail).
-
-# Comparison operators and what each flips to.
-FLIPS = {"'=": ["="], "'<": ["<"], "'>": [">"], "']": ["]"], "'[": ["["], "=": ["'="], "<": [">", "'<"], ">": ["<", "'>"], "[": ["'["], "]": ["']"]}
-
-
-def cmp_flip(lines: list[Line]):
-    for x in lines:
-        for c in x.commands:
-            spans = [s for s in (c.cond, c.args if c.verb in ("IF", "QUIT", "WHILE") else None) if s]
-            spans += [(x.code.find("$S(", c.start, c.end), c.end)] if "$S(" in x.code[c.start : c.end] else []
-            for a, b in spans:
-                for m in re.finditer(r"'?[=<>\[\]]", x.code[a:b]):
-                    for new in FLIPS.get(m.group(), []):
-                        yield x.number, x.raw[: a + m.start()] + new + x.raw[a + m.end() :], f"{m.group()} to {new}"
-
-
-def boundary(lines: list[Line]):
-    for x in lines:
-        for m in re.finditer(r"\$(?:P|PIECE|E|EXTRACT)\(", x.code, re.I):
-            end, d = m.end(), 1
-            while end < len(x.code) and d:
-                d += (x.code[end] == "(") - (x.code[end] == ")")
-                end += 1
-            first = 2 if x.code[m.start() + 1].upper() == "P" else 1
-            for a, b in split_top(x.code, m.end(), end - 1)[first:]:
-                if x.code[a:b].isdigit():
-                    for n in (int(x.code[a:b]) + 1, int(x.code[a:b]) - 1):
-                        if n > 0:
-                            yield x.number, x.raw[:a] + str(n) + x.raw[b:], f"{x.code[a:b]} to {n}"
-
-
-def stmt_drop(lines: list[Line]):
-    for x in lines:
-        for k, c in enumerate(x.commands):
-            if c.verb not in ("SET", "DO", "KILL", "NEW") or not c.args or any(p.verb == "FOR" for p in x.commands[:k]) and c.verb == "SET" and len(x.commands) == k + 1:
-                continue
-            if len(x.commands) == 1 and not x.label:
-                yield x.number, None, f"line with {c.verb}"
-            elif len(x.commands) > 1:
-                yield x.number, (x.raw[: c.start] + x.raw[c.end :].lstrip(" ")).rstrip(), c.verb
-
-
-def var_swap(lines: list[Line]):
-    for i, x in enumerate(lines):
-        near = [n for y in lines[max(0, i - 6) : i] for n in [t for c in y.commands if c.verb == "SET" for t, g in set_targets(y, c) if not g]]
-        done = 0
-        for c in x.commands:
-            if c.verb not in ("SET", "IF", "WRITE", "QUIT") or not c.args or done >= 3:
-                continue
-            a, b = c.args
-            for m in re.finditer(r"(?<![\^$%A-Za-z0-9\"])([A-Za-z][A-Za-z0-9]*)(?![A-Za-z0-9(\"^])", x.code[a:b]):
-                for new in list(dict.fromkeys(n for n in reversed(near) if n != m.group()))[:2]:
-                    if done < 3 and not re.search(r"\?[0-9.]*$", x.code[a : a + m.start()]):
-                        done += 1
-                        yield x.number, x.raw[: a + m.start()] + new + x.raw[a + m.end() :], f"{m.group()} to {new}"
-
-
-def naked_ref(lines: list[Line]):
-    for x in lines:
-        refs = [m for m in re.finditer(r"\^(%?[A-Za-z][A-Za-z0-9]*)\(", x.code)]
-        for m, k in zip(refs, refs[1:]):
-            if m.group(1) == k.group(1):
-                end, d = k.end(), 1
-                while end < len(x.code) and d:
-                    d += (x.code[end] == "(") - (x.code[end] == ")")
-                    end += 1
-                subs = split_top(x.code, k.end(), end - 1)
-                if len(subs) > 1:
-                    yield x.number, x.raw[: k.start()] + "^(" + x.raw[subs[-1][0] : subs[-1][1]] + x.raw[end - 1 :], f"naked {k.group(1)}"
-
-
-def dollar_misuse(lines: list[Line]):
-    for x in lines:
-        for m in re.finditer(r"\$(D|G|O)\(", x.code):
-            end, d = m.end(), 1
-            while end < len(x.code) and d:
-                d += (x.code[end] == "(") - (x.code[end] == ")")
-                end += 1
-            args = split_top(x.code, m.end(), end - 1)
-            if m.group(1) in "DG" and len(args) == 1:
-                new = "G" if m.group(1) == "D" else "D"
-                yield x.number, x.raw[: m.start() + 1] + new + x.raw[m.start() + 2 :], f"${m.group(1)} to ${new}"
-            elif m.group(1) == "G" and len(args) == 2:
-                yield x.number, x.raw[: args[1][0] - 1] + x.raw[args[1][1] :], "default dropped"
-            elif m.group(1) == "O":
-                new = x.raw[: end - 1] + ",-1" + x.raw[end - 1 :] if len(args) == 1 else x.raw[: args[1][0] - 1] + x.raw[args[1][1] :]
-                yield x.number, new, "order reversed"
-
-
-def postcond(lines: list[Line]):
-    for x in lines:
-        for c in x.commands:
-            if c.cond:
-                a, b = c.cond
-                yield x.number, x.raw[: a - 1] + x.raw[b:], "condition dropped"
-                yield x.number, x.raw[:a] + "'(" + x.raw[a:b] + ")" + x.raw[b:], "condition inverted"
-
-
-def arg_order(lines: list[Line]):
-    for x in lines:
-        for m in re.finditer(r"(?:\$\$%?[A-Za-z0-9]*(?:\^%?[A-Za-z0-9]+)?|(?<=[ ,])%?[A-Za-z][A-Za-z0-9]*(?:\^%?[A-Za-z0-9]+)?)\(", x.code):
-            if not m.group().startswith("$$") and not any(c.verb in ("DO", "JOB") and c.args and c.args[0] <= m.start() < c.args[1] for c in x.commands):
-                continue
-            end, d = m.end(), 1
-            while end < len(x.code) and d:
-                d += (x.code[end] == "(") - (x.code[end] == ")")
-                end += 1
-            subs = split_top(x.code, m.end(), end - 1)
-            for p, q in zip(subs, subs[1:]):
-                if x.raw[slice(*p)] != x.raw[slice(*q)]:
-                    yield x.number, x.raw[: p[0]] + x.raw[slice(*q)] + "," + x.raw[slice(*p)] + x.raw[q[1] :], "neighbours swapped"
-
-
-#: The registry: add a generator here to add an operator.
-OPERATORS = {"CMP_FLIP": cmp_flip, "BOUNDARY": boundary, "STMT_DROP": stmt_drop, "VAR_SWAP": var_swap, "NAKED_REF": naked_ref, "DOLLAR_MISUSE": dollar_misuse, "POSTCOND": postcond, "ARG_ORDER": arg_order}
-MUTANTS = "name string, operator string, ordinal int, line int, original_line string, mutated_line string, detail string, task_id string"
-
-
-def mutants(routines: DataFrame, operators: list[str] | None = None) -> DataFrame:
-    """One row per different mutant of each routine; of equal edits the first operator's stays."""
-    chosen = {k: OPERATORS[k] for k in operators or OPERATORS}
-
-    def one(n, s):
-        from hashlib import sha256
-
-        lines, seen, out = lex(s), set(), []
-        for op, f in chosen.items():
-            for number, new, detail in f(lines):
-                old = lines[number - 1].raw
-                if new == old or (number, new) in seen:
-                    continue
-                seen.add((number, new))
-                digest = sha256(f"{n}|{number}|{new}".encode("utf-8", "surrogatepass")).hexdigest()[:8]
-                out.append((n, op, len(out) + 1, number, old, new, detail, f"{n}-{op}-L{number}-{digest}"))
-        return out
-
-    return routines.select("name", "source").mapInPandas(_per_routine(one, _names(MUTANTS)), MUTANTS)
-
-
-def apply_mutant(source, line, mutated) -> F.Column:
-    """The source with one line replaced, or dropped where ``mutated`` is null."""
-    ls = F.split(source, "\n", -1)
-    return F.array_join(F.concat(F.slice(ls, F.lit(1), line - 1), F.when(mutated.isNull(), F.array().cast("array<string>")).otherwise(F.array(mutated)), F.slice(ls, line + 1, F.size(ls))), "\n")
-
-
-def mutant_survey(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("operator").agg(F.count("*").alias("mutants"), F.countDistinct("name").alias("routines"))
-
-
 # ---- labels: flags carried over local calls, and what clean entries reach ----------------------------------------
 LABEL_FACTS = "name string, label string, seq int, formals array<string>, lines int, own_flags array<string>, flags array<string>, blocked_by array<string>, clean boolean, reached boolean"
 
@@ -520,7 +372,7 @@ def label_facts_of(name: str, src: str) -> list[tuple]:
                     todo.append(m)
         reach[n] = seen
     flags = {n: sorted(set().union(*(at[m]["own"] for m in reach[n]))) for n in order}
-    blocked = {n: [f for f in flags[n] if re.match(r"nondet:|interactive:|read|device|job|xecute|indirect", f)] for n in order}
+    blocked = {n: [f for f in flags[n] if re.match(BLOCKING, f)] for n in order}
     reached = set().union(*([reach[n] for n in order if at[n]["formals"] is not None and not blocked[n]] or [set()]))
     return [(name, n, i, at[n]["formals"], at[n]["lines"], sorted(at[n]["own"]), flags[n], blocked[n], not blocked[n], n in reached) for i, n in enumerate(order)]
 

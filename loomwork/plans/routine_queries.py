@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mumps, ranking
+from ..operators import mumps, mutants, ranking
 from ..sources.tables import table
 
 
@@ -43,8 +43,9 @@ QUERIES = {
     "reassigned": lambda s, d: mumps.reassigned_later(mumps.variable_uses(_routines(s, d))).groupBy("name").agg(F.count("*").alias("writes"), F.count_if("again").alias("again")),
     "reaching_writes": lambda s, d: mumps.reaching_writes(mumps.variable_uses(_routines(s, d))).groupBy("name").agg(F.count("*").alias("reads"), F.count("from_line").alias("reached")),
     "naked_refs": lambda s, d: mumps.naked_references(_routines(s, d)),
-    "mutants": lambda s, d: mumps.mutants(_routines(s, d)),
-    "mutant_survey": lambda s, d: mumps.mutant_survey(mumps.mutants(_routines(s, d))),
+    "mutants": lambda s, d: mutants.mutants(_routines(s, d)),
+    "mutant_survey": lambda s, d: mutants.mutant_survey(mutants.mutants(_routines(s, d))),
+    "mutant_difficulty": lambda s, d: mutants.mutant_difficulty(mutants.mutants(_routines(s, d))),
     "exclusion_reasons": lambda s, d: ranking.reason_tally(_reasons(s, d)),
     "rank_candidates": lambda s, d: ranking.global_rank(_scored(s, d)).select("name", "score", "rank", F.to_json("components").alias("components")),
     "density": lambda s, d: ranking.density(_routines(s, d), r"\$[A-Z]+\("),
