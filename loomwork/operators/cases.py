@@ -113,3 +113,42 @@ def walk_multiples(start: DataFrame, children: DataFrame, hops: int) -> DataFram
         more = F.size("path") > i
         cur = j.select("id", F.when(more, F.col("child")).otherwise(F.col("file")).alias("file"), "path", F.when(more, F.lit(i + 1)).otherwise(F.col("hops")).alias("hops"))
     return cur.select("id", "file", "hops")
+
+
+def value_pools(entries: DataFrame, always: list[str], lines: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """(entry, position, choice, value): candidate values of every argument, in order: the fixed ones, then literals that
+    the entry's own lines compare with or take; each once, at most ``most``.
+
+    entries (entry, formals), lines (entry, line); a null line holds no literal.
+    """
+    slots = entries.where(F.size("formals") > 0).select("entry", F.explode(F.sequence(F.lit(1), F.size("formals"))).alias("position"))
+    fixed = F.array(*[F.lit(v) for v in always])
+    if lines is None:
+        found = slots.withColumn("own", F.array().cast("array<string>"))
+    else:
+        text = F.regexp_extract_all("line", F.lit('"((?:[^"]|"")*)"'), F.lit(1))
+        digits = F.regexp_extract_all(F.regexp_replace("line", '"(?:[^"]|"")*"', ""), F.lit(r"(?<![A-Za-z0-9.])([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
+        own = lines.where(F.col("line").isNotNull()).select("entry", F.explode(F.array_distinct(F.concat(text, digits))).alias("v")).distinct()
+        # The least ``most`` literals of an entry, merged before they are gathered.
+        w = Window.partitionBy("entry").orderBy("v")
+        few = own.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy("entry").agg(F.array_sort(F.collect_list("v")).alias("own"))
+        found = slots.join(few, "entry", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    values = F.slice(F.array_distinct(F.concat(fixed, "own")), 1, most)
+    return found.select("entry", "position", F.posexplode(values).alias("i", "value")).select("entry", "position", (F.col("i") + 1).alias("choice"), "value")
+
+
+def build_cases(base: DataFrame, pools: DataFrame, extremes: list[str], most: int) -> DataFrame:
+    """(entry, case_no, args): the base case, all arguments at each extreme, then one argument at a time; each different
+    list of arguments once, at most ``most`` per entry."""
+    limits = base.select("entry", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(v).alias("v")) for i, v in enumerate(extremes)])).alias("x"), "args")
+    every = limits.select("entry", F.lit(1).alias("kind"), F.lit(0).alias("p"), F.col("x.c").alias("c"), F.transform("args", lambda a: F.col("x.v")).alias("args"))
+    one = pools.join(base, "entry").select("entry", F.lit(2).alias("kind"), F.col("position").alias("p"), F.col("choice").alias("c"), F.transform("args", lambda a, i: F.when(i + 1 == F.col("position"), F.col("value")).otherwise(a)).alias("args"))
+    all_ = base.select("entry", F.lit(0).alias("kind"), F.lit(0).alias("p"), F.lit(0).alias("c"), "args").unionByName(every).unionByName(one)
+    first = all_.groupBy("entry", "args").agg(F.min(F.struct("kind", "c", "p")).alias("o"))
+    w = Window.partitionBy("entry").orderBy("o")
+    return first.withColumn("case_no", F.row_number().over(w)).where(F.col("case_no") <= most).select("entry", "case_no", "args")
+
+
+def enough_cases(cases: DataFrame, least: int) -> DataFrame:
+    """(entry, cases, enough): entries with their number of cases and whether it is at least ``least``."""
+    return cases.groupBy("entry").agg(F.count("*").alias("cases"), (F.count("*") >= least).alias("enough"))

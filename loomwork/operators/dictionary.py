@@ -13,7 +13,7 @@ from ..functions.text import fileman_date
 from .skew import skew_join
 
 # Field names whose pieces are credentials.
-SENSITIVE = r"(?i)\b(access code|verify code|password|pass ?word|electronic signature|security key|secret|token|pin)\b"
+SENSITIVE = r"(?i)\b(access code|verify code|password|pass ?word|electronic signature|signature code|security key|secret|token|pin)\b|cryptographic"
 REDACTED = "<redacted>"
 
 
@@ -133,3 +133,10 @@ def resolve(wanted: DataFrame, roots: DataFrame, fields: DataFrame, samples: Dat
     shown = F.slice(F.array_distinct(F.array_compact(F.concat(F.array("exact"), same))), 1, most)
     notes = F.array_compact(F.array(F.when(F.col("file").isNull(), "no file has this root"), F.when(F.col("file").isNotNull() & F.col("layout").isNull(), "no field on this node"), F.when(F.col("exact").isNull(), "no stored value of its own"), F.when(F.col("depth") > 2, "deeper than one multiple")))
     return j.select("ref", "file", "record", "node", "layout", shown.alias("samples"), notes.alias("notes"))
+
+
+def dictionary_counts(files: DataFrame, fields: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: files, fields, roots, nodes and redactions (null counts none) of a decoded dictionary."""
+    f = files.agg(F.count("*").alias("files"), F.countDistinct("root").alias("roots"))
+    one = f.join(F.broadcast(fields.agg(F.count("*").alias("fields"))))  # one row each
+    return one.join(F.broadcast(nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("redactions"), F.lit(0)).alias("redactions"))))

@@ -153,12 +153,16 @@ class Code:
         self.running = [x for x in lines if x.commands]
         self.labels = [x.number for x in lines if x.label]
 
-    def scope(self, x: Line) -> list[Line]:
-        """Lines with commands of the label that holds ``x``."""
+    def held(self, x: Line) -> list[Line]:
+        """All lines of the label that holds ``x``."""
         k = bisect_right(self.labels, x.number)
-        low = self.labels[k - 1] if k else 0
+        low = self.labels[k - 1] if k else 1
         high = self.labels[k] if k < len(self.labels) else len(self.lines) + 1
-        return [y for y in self.running if low <= y.number < high]
+        return self.lines[low - 1 : high - 1]
+
+    def scope(self, x: Line) -> list[Line]:
+        """Lines with commands of the label that holds ``x``."""
+        return [y for y in self.held(x) if y.commands]
 
     def before(self, x: Line) -> list[Line]:
         """The scope's lines before ``x``, nearest first."""
@@ -368,7 +372,7 @@ def var_swap(r: Code) -> Iterator[Edit]:
     """Another local of the scope where one is read; the nearest names first."""
     for x in r.plain:
         known = {n for y in r.scope(x) for c in y.commands for n in (writes(y, c) | ({n for n, *_ in locals_in(y.code, *c.args)} if c.verb == "NEW" and c.args else set()))}
-        known |= {f for y in r.scope(x) for f in y.formals or []}
+        known |= {f for y in r.held(x) for f in y.formals or []}
         prefix = os.path.commonprefix(sorted(known)) if len(known) > 1 else ""
         loops = [c.args for c in x.commands if c.verb == "FOR" and c.args]
         done = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,35 @@ def task_admission(tasks: DataFrame, keep: DataFrame, least_diverged: int = 1) -
     first = checked.where(F.col("_early").isNull()).groupBy(mutant.alias("_m")).agg(F.min("task_no").alias("_first"))
     out = checked.withColumn("_m", mutant).join(first, "_m", "left")
     return out.withColumn("verdict", F.coalesce("_early", F.when(F.col("task_no") > F.col("_first"), "duplicate_mutant"), F.lit("admitted"))).drop("_in", "_early", "_m", "_first")
+
+
+def caller_pairs(calls: DataFrame, sides: DataFrame) -> DataFrame:
+    """(name, side, source, question, answer): which routines of the same side of a split call each routine, in order.
+
+    calls (caller, callee), sides (name, side). A routine that calls itself only, or is called across the split only, gives no row.
+    """
+    a = sides.select(F.col("name").alias("caller"), F.col("side").alias("caller_side"))
+    b = sides.select(F.col("name").alias("callee"), "side")
+    who = calls.where(F.col("caller") != F.col("callee")).distinct().join(a, "caller").join(b, "callee").where(F.col("caller_side") == F.col("side"))
+    listed = who.groupBy(F.col("callee").alias("name"), "side").agg(F.array_join(F.array_sort(F.collect_set("caller")), ", ").alias("answer"))
+    return listed.select("name", "side", F.lit("call_graph").alias("source"), F.concat(F.lit("Which routines call "), "name", F.lit("?")).alias("question"), "answer")
+
+
+def file_pairs(uses: DataFrame, roots: DataFrame, fields: DataFrame, most: int = 12) -> DataFrame:
+    """(name, file, source, question, answer): what the globals of a routine mean: the file of each, once per routine and
+    file, and that file's first ``most`` fields.
+
+    uses (name, global), roots (root, file, title), fields (file, field, label, storage). A root stands with or without
+    its parenthesis; of two files with one root the last wins; files without title give no row.
+    """
+    root = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.trim("global"), r"^\^", ""), r"\(.*$", ""), F.lit("("))
+    known = roots.where(F.col("title") != "").select(F.concat(F.regexp_replace("root", r"\($", ""), F.lit("(")).alias("root"), "file", "title").groupBy("root").agg(F.max(F.struct("file", "title")).alias("f")).select("root", "f.*")
+    hit = uses.where(F.trim("global") != "").select("name", root.alias("root")).distinct().join(known, "root")
+    once = hit.groupBy("name", "file", "title").agg(F.min("root").alias("root"))
+    n = fields.groupBy("file").agg(F.count("*").alias("n"))
+    what = once.join(n, "file", "left").select("name", "file", F.lit("file").alias("source"), F.concat(F.lit("Which file is "), "root", F.lit(" in "), "name", F.lit("?")).alias("question"), F.concat(F.lit("#"), "file", F.lit(" "), "title", F.lit(", fields: "), F.coalesce("n", F.lit(0)).cast("string")).alias("answer"))
+    order = Window.partitionBy("file").orderBy(F.col("field").try_cast("double").asc_nulls_last(), "field")
+    shown = F.concat(F.lit("#"), "field", F.lit(" "), "label", F.when(F.coalesce("storage", F.lit("")) != "", F.concat(F.lit(" ["), "storage", F.lit("]"))).otherwise(""))
+    first = fields.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & (F.col("label") != "")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("r", shown.alias("s")))).alias("l"))
+    some = once.join(first, "file").select("name", "file", F.lit("file").alias("source"), F.concat(F.lit("Name fields of file #"), "file", F.lit(".")).alias("question"), F.array_join(F.transform("l", lambda x: x["s"]), "; ").alias("answer"))
+    return what.unionByName(some)

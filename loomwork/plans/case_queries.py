@@ -31,7 +31,7 @@ def _gates(s, d):
 
 def _qa_calls(s, d):
     f = mumps.routine_facts(_routines(s, d)).where("error IS NULL")
-    q = lambda source, text, col: f.where(F.size(col) > 0).select("name", F.lit(source).alias("source"), F.concat(F.lit(text), "name", F.lit("?")).alias("question"), F.array_join(F.slice(col, 1, 12), ", ").alias("answer"))
+    q = lambda source, text, col: f.where(F.size(col) > 0).select("name", F.lit(source).alias("source"), F.concat(F.lit(text), "name", F.lit("?")).alias("question"), F.array_join(col, ", ").alias("answer"))
     naked = mumps.naked_references(_routines(s, d)).where(F.col("resolved").isNotNull())
     idiom = naked.select("name", F.lit("idiom").alias("source"), F.concat(F.lit("What does "), "raw", F.lit(" mean on line "), F.col("line").cast("string"), F.lit(" of "), "name", F.lit("?")).alias("question"), F.col("resolved").alias("answer"))
     parts = [q("call_graph", "Which routines are called by ", "calls"), q("globals", "Which globals are written by ", "globals_written"), q("globals", "Which globals are read by ", "globals_read"), idiom]

@@ -9,14 +9,14 @@ from ..operators import graph, lineage
 from ..sources.scratch import Scratch
 from ..sources.tables import table
 
-_EDGES = """edges AS (SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS callee, l_quantity FROM lineitem) e
-    WHERE callee IS NOT NULL AND caller <> callee AND l_quantity >= 45)"""
+_EDGES = """edges AS (SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS callee FROM lineitem) e
+    WHERE callee IS NOT NULL AND caller <> callee)"""
 
 
 def _edges(s, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    e = table(s, d, "lineitem").select(F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee"), "l_quantity")
-    return e.where("callee IS NOT NULL AND caller <> callee AND l_quantity >= 45").select("caller", "callee").distinct()
+    e = table(s, d, "lineitem").select(F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee"))
+    return e.where("callee IS NOT NULL AND caller <> callee").select("caller", "callee").distinct()
 
 
 def _facts(s, d):
@@ -47,7 +47,7 @@ def _bfs(s, d):
 
 QUERIES = {
     "fan_in_out": lambda s, d: graph.fan(_edges(s, d)),
-    "reach_3hop": lambda s, d: graph.reach(_edges(s, d), 3, 50),
+    "reach_2hop": lambda s, d: graph.reach(_edges(s, d), 2, 50),
     "bfs_rooted": _bfs,
     "bfs_edges": lambda s, d: graph.rooted_edges(_edges(s, d), _bfs(s, d), 4),
     "callee_facts": lambda s, d: graph.callee_facts(graph.reach_pairs(_edges(s, d), 2), _facts(s, d)),
@@ -56,7 +56,7 @@ QUERIES = {
     "near_dup_clusters": _clusters,
     "split_units": _units,
     "cluster_split": lambda s, d: lineage.quota_split(_units(s, d), 0.3, 20260905, Scratch(s)),
-    "leak_check": lambda s, d: lineage.leaked(table(s, d, "sft_examples").where("lower(trim(split)) = 'test'").select(F.col("routine").alias("name")), table(s, d, "sft_examples").where("lower(trim(split)) = 'train'").select(F.col("routine").alias("name"))),
+    "leak_check": lambda s, d: lineage.leaked(table(s, d, "sft_examples").where("lower(trim(split)) IN ('test', 'val', 'valid', 'validation')").select(F.col("routine").alias("name")), table(s, d, "sft_examples").where("lower(trim(split)) = 'train'").select(F.col("routine").alias("name"))),
 }
 
 _SHINGLES = r"""r AS (SELECT file_id AS name, max(src) AS source FROM parsed_routines WHERE path LIKE '%.m' AND src IS NOT NULL AND file_id IS NOT NULL GROUP BY 1),
@@ -84,8 +84,8 @@ _UNITS = _CLUSTERS + ", units AS (SELECT CAST(r.name AS VARCHAR) AS name, coales
 
 SQL = {
     "fan_in_out": f"WITH {_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT caller AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT callee, 1, 0 FROM edges) GROUP BY 1",
-    "reach_3hop": f"""WITH {_EDGES}, p1 AS (SELECT caller, callee AS node FROM edges), p2 AS (SELECT DISTINCT p1.caller, e.callee AS node FROM p1 JOIN edges e ON e.caller = p1.node), p3 AS (SELECT DISTINCT p2.caller, e.callee AS node FROM p2 JOIN edges e ON e.caller = p2.node),
-        a AS (SELECT * FROM p1 UNION SELECT * FROM p2 UNION SELECT * FROM p3) SELECT caller, count(DISTINCT node) AS reached, count(DISTINCT node) > 50 AS capped FROM a WHERE caller <> node GROUP BY 1""",
+    "reach_2hop": f"""WITH {_EDGES}, p1 AS (SELECT caller, callee AS node FROM edges), p2 AS (SELECT DISTINCT p1.caller, e.callee AS node FROM p1 JOIN edges e ON e.caller = p1.node),
+        a AS (SELECT * FROM p1 UNION SELECT * FROM p2) SELECT caller, count(DISTINCT node) AS reached, count(DISTINCT node) > 50 AS capped FROM a WHERE caller <> node GROUP BY 1""",
     "bfs_rooted": f"WITH RECURSIVE {_EDGES}, w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.callee, depth + 1 FROM w JOIN edges e ON e.caller = w.node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY 1",
     "bfs_edges": f"""WITH RECURSIVE {_EDGES}, w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.callee, depth + 1 FROM w JOIN edges e ON e.caller = w.node WHERE depth < 4), l AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
         SELECT caller, callee, callee IN (SELECT caller FROM edges) AS in_corpus FROM edges WHERE caller IN (SELECT node FROM l WHERE depth < 4)""",
@@ -98,5 +98,5 @@ SQL = {
     "cluster_split": f"""WITH RECURSIVE {_UNITS}, s AS (SELECT unit_key, count(*) AS size, sha256(concat('20260905|', unit_key)) AS h FROM units GROUP BY 1), od AS (SELECT *, row_number() OVER (ORDER BY h, unit_key) AS i FROM s),
         qt AS (SELECT round_even(count(*) * 0.3, 0) AS quota FROM units), f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, false AS took UNION ALL SELECT od.i, CASE WHEN used + size <= quota THEN used + size ELSE used END, used + size <= quota FROM f JOIN od ON od.i = f.i + 1, qt)
         SELECT unit_key, size, CASE WHEN took THEN 'eval' ELSE 'train' END AS side FROM od JOIN f USING (i)""",
-    "leak_check": "SELECT DISTINCT upper(trim(routine)) AS name FROM sft_examples WHERE lower(trim(split)) = 'test' AND upper(trim(routine)) IN (SELECT upper(trim(routine)) FROM sft_examples WHERE lower(trim(split)) = 'train')",
+    "leak_check": "SELECT DISTINCT upper(trim(routine)) AS name FROM sft_examples WHERE lower(trim(split)) IN ('test', 'val', 'valid', 'validation') AND upper(trim(routine)) IN (SELECT upper(trim(routine)) FROM sft_examples WHERE lower(trim(split)) = 'train')",
 }

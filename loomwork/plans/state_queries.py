@@ -15,7 +15,7 @@ def _state(s, d, gap: int, cut: int | None = None):
 
 
 def _plan(s, d, stale: bool):
-    o = table(s, d, "orders").where(F.col("o_orderkey") % 211 == 0)
+    o = table(s, d, "orders")
     now = F.concat("o_orderstatus", F.lit("^"), "o_orderpriority")
     before = F.when(F.col("o_orderkey") % 101 == 0, F.lit(None)).otherwise(now)
     if stale:
@@ -60,8 +60,8 @@ _V = """base AS (SELECT o_orderkey AS ref, concat(o_orderstatus, '^', o_orderpri
     cand AS (SELECT o_orderkey AS ref, concat(CASE WHEN o_orderkey % 53 = 0 THEN '' ELSE o_orderstatus END, '^', o_orderpriority) AS value FROM orders WHERE o_orderkey % 97 <> 0),
     diff AS (SELECT coalesce(b.ref, c.ref) AS ref, CASE WHEN c.ref IS NULL THEN 'removed' WHEN b.ref IS NULL THEN 'added' ELSE 'changed' END AS kind, b.value AS expected, c.value AS actual
       FROM base b FULL JOIN cand c ON b.ref = c.ref WHERE b.ref IS NULL OR c.ref IS NULL OR b.value IS DISTINCT FROM c.value),
-    stale AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 'kill' ELSE 'set' END AS op, CASE WHEN o_orderkey % 7 = 0 THEN 'stale' ELSE concat(o_orderstatus, '^', o_orderpriority) END AS before_value, CASE WHEN o_orderkey % 2 = 1 THEN 'X^new' END AS value FROM orders WHERE o_orderkey % 211 = 0),
-    good AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 'kill' ELSE 'set' END AS op, CASE WHEN o_orderkey % 101 <> 0 THEN concat(o_orderstatus, '^', o_orderpriority) END AS before_value, CASE WHEN o_orderkey % 2 = 1 THEN 'X^new' END AS value FROM orders WHERE o_orderkey % 211 = 0)"""
+    stale AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 'kill' ELSE 'set' END AS op, CASE WHEN o_orderkey % 7 = 0 THEN 'stale' ELSE concat(o_orderstatus, '^', o_orderpriority) END AS before_value, CASE WHEN o_orderkey % 2 = 1 THEN 'X^new' END AS value FROM orders),
+    good AS (SELECT o_orderkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 'kill' ELSE 'set' END AS op, CASE WHEN o_orderkey % 101 <> 0 THEN concat(o_orderstatus, '^', o_orderpriority) END AS before_value, CASE WHEN o_orderkey % 2 = 1 THEN 'X^new' END AS value FROM orders)"""
 
 
 def _preview(plan: str) -> str:

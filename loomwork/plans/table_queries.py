@@ -125,6 +125,8 @@ SQL = {
     "fileman_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN concat(strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 3 = 0 THEN 'T08:39:00' ELSE '' END) END AS iso FROM orders",
     "label_of_line": f"WITH {_SPANS} SELECT pt.file_id, at_ AS \"at\", label FROM pt LEFT JOIN sp ON pt.file_id = sp.file_id AND at_ BETWEEN lo AND hi",
     "entry_of_line": f"WITH {_SPANS} SELECT pt.file_id, at_ AS \"at\", coalesce((array_agg(label ORDER BY lo DESC) FILTER (arity > 0 AND lo <= at_))[1], (array_agg(label ORDER BY lo DESC) FILTER (lo <= at_))[1]) AS entry FROM pt LEFT JOIN sp ON pt.file_id = sp.file_id GROUP BY 1, 2",
+    "chat_examples": f"""WITH {_QA}, m AS (SELECT name, question, [struct_pack(role := 'system', content := 'Answer briefly.'), struct_pack(role := 'user', content := question), struct_pack(role := 'assistant', content := answer)] AS messages FROM qa)
+        SELECT name, CAST(3 AS INTEGER) AS n, question AS user, md5(CAST(to_json(messages) AS VARCHAR)) AS digest FROM m""",
     "qa_pairs": f"WITH {_QA} SELECT * FROM qa",
     "rewards": """WITH g AS (SELECT CASE WHEN trim(coalesce(CASE WHEN submitted THEN task_id END, '')) = '' THEN 'empty candidate' WHEN harness_error IS NOT NULL THEN 'error' WHEN coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0) <= 0 THEN 'nothing gradable'
         WHEN coalesce(verdict.equivalent, false) THEN 'equivalent' ELSE 'diverged' END AS reason, greatest(round((coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0) - coalesce(verdict.n_diverged, 0)) / nullif(coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0), 0), 6), 0) AS part FROM attempts WHERE seed IS NOT NULL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,13 +70,18 @@ def with_fallback(wanted: DataFrame, corpus: DataFrame, fallback: DataFrame) ->
     return j.select("name", F.coalesce("a", "b").alias("source"), F.when(F.col("a").isNotNull(), "corpus").when(F.col("b").isNotNull(), "fallback").otherwise("missing").alias("origin"))
 
 
+def _folder(path: str) -> str:
+    """The folder of a path as it begins file paths: one leading slash, one at the end."""
+    return "/" + re.sub("^[a-z]+:/*", "", path).strip("/") + "/"
+
+
 def manuals(spark: SparkSession, path: str, source_id: str) -> DataFrame:
-    """(document, path, text) of .md, .txt and .rst files; fails where a file, their sum or their number is too large."""
+    """(document, path, text) of .md, .txt and .rst files, their paths relative to ``path``; fails where a file, their sum or their number is too large."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt,rst}").load(path)
     sizes = raw.agg(F.coalesce(F.max("length"), F.lit(0)).alias("most"), F.coalesce(F.sum("length"), F.lit(0)).alias("all"), F.count("*").alias("files"))
     ok = (F.col("most") <= MAX_FILE) & (F.col("all") <= MAX_CATALOG) & F.col("files").between(1, MAX_FILES)
     guard = sizes.select(F.assert_true(ok, "no documents, or more than the catalog's limits").alias("guard"))
-    rel = F.regexp_extract("path", r"([^/]+)$", 1)
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit("^" + re.escape(_folder(path))), F.lit(""))
     doc = F.concat(F.lit(source_id + ":"), F.substring(F.sha2(rel, 256), 1, 16))
     return raw.join(F.broadcast(guard)).where(F.col("guard").isNull()).select(doc.alias("document"), rel.alias("path"), F.col("content").cast("string").alias("text"))  # one row
 
@@ -220,3 +226,84 @@ def write_tasks(df: DataFrame, path: str) -> None:
     if df.isEmpty():
         raise ValueError("no tasks")
     write_once(df, path)
+
+
+def _renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Puts ``old`` in the place of ``new`` with two renames; what was there comes back if the second one fails."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b, kept = (jvm.org.apache.hadoop.fs.Path(p) for p in (old, new, new + ".before"))
+    fs = b.getFileSystem(conf)
+    fs.delete(kept, True)
+    had = fs.exists(b) and fs.rename(b, kept)
+    if not fs.rename(a, b):
+        if had:
+            fs.rename(kept, b)
+        raise OSError(f"{new} could not be replaced")
+    fs.delete(kept, True)
+
+
+def replace_json(df: DataFrame, path: str) -> None:
+    """JSON lines at ``path``, whole or not at all: written beside it first, then renamed. A failed write leaves the old rows."""
+    beside = path.rstrip("/") + ".new"
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(beside)
+    _renamed(df.sparkSession, beside, path.rstrip("/"))
+
+
+def change_models(registry: DataFrame, add: DataFrame | None = None, remove: list[str] | None = None) -> DataFrame:
+    """(name, model_id): the registry after changes; fails where a new name is no name or shadows a known one."""
+    kept = registry.where(~F.coalesce(F.col("name").isin(*remove), F.lit(False))) if remove else registry
+    if add is None:
+        return kept.select("name", "model_id")
+    known = kept.select("name").withColumn("_known", F.lit(True))
+    wrong = F.when(~F.coalesce(F.col("name").rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$"), F.lit(False)), "no name").when(F.col("_known"), "known already")
+    checked = add.join(known, "name", "left").withColumn("_g", F.when(wrong.isNull(), F.lit(None).cast("string")).otherwise(F.raise_error(F.concat(F.coalesce("name", F.lit("?")), F.lit(": "), wrong))))
+    return kept.select("name", "model_id").unionByName(checked.where(F.col("_g").isNull()).select("name", "model_id"))
+
+
+EVENT = "kind string, run_id string, ts string, task_id string, routine string, condition string, attempt int, backend string, diff string, explanation string, agent_visible boolean, agent_claimed_success boolean, verified_equivalent boolean, source string, error string, cases array<struct<case_index:int,divergences:array<struct<kind:string,ref:string>>>>"
+
+
+def event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, problems) of JSONL event logs: typed events with path and line, and (path, line, problem) of lines that
+    are no JSON objects or have no kind. Nothing fails; an empty log has neither."""
+    ls = trace_lines(spark, path).withColumn("v", F.try_parse_json("value")).withColumn("e", F.from_json("value", EVENT))
+    good = F.col("v").isNotNull() & F.col("e.kind").isNotNull()
+    problem = F.when(F.col("v").isNull(), "not JSON").otherwise("no kind of event")
+    return ls.where(good).select("path", "line", "e.*"), ls.where(~good).select("path", "line", problem.alias("problem"))
+
+
+CACHE = "schema string, files map<string,struct<name:string,root:string,fields:map<string,array<string>>>>"
+
+
+def dictionary_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(files, fields) of a gzipped dictionary cache; a missing cache is an empty dictionary.
+
+    files (file, name, root), fields (file, field, name, type, codes, storage).
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        raw = spark.read.schema(CACHE).option("multiLine", "true").json(path)
+    else:
+        raw = spark.createDataFrame([], CACHE)
+    of = raw.select(F.explode("files").alias("file", "f"))
+    fields = of.select("file", F.explode("f.fields").alias("field", "v"))
+    part = lambda i: F.get("v", F.lit(i))
+    return of.select("file", "f.name", "f.root"), fields.select("file", "field", part(0).alias("name"), part(1).alias("type"), part(2).alias("codes"), part(3).alias("storage"))
+
+
+def write_dictionary_cache(files: DataFrame, fields: DataFrame, path: str) -> None:
+    """One gzipped JSON document of a dictionary, for ``dictionary_cache``; a dictionary is bounded by its files."""
+    per = fields.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("field", F.array("name", "type", "codes", "storage")))).alias("fields"))
+    j = files.join(per, "file", "left").select("file", F.struct("name", "root", F.coalesce("fields", F.create_map().cast("map<string,array<string>>")).alias("fields")).alias("f"))
+    one = j.agg(F.map_from_entries(F.collect_list(F.struct("file", "f"))).alias("files")).select(F.lit("dictionary/1").alias("schema"), "files")
+    one.coalesce(1).write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def vendor_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, url, sha256, bytes) of a manifest of downloaded files; fails where one lacks its digest or stands twice."""
+    schema = "files array<struct<path:string,url:string,sha256:string,bytes:bigint>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("files").alias("f")).select("f.*")
+    times = rows.groupBy("path").agg(F.count("*").alias("_n"))
+    bad = F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "no digest").when(F.col("_n") > 1, "twice")
+    checked = rows.join(times, "path").withColumn("_g", F.when(bad.isNull(), F.lit(None).cast("string")).otherwise(F.raise_error(F.concat("path", F.lit(": "), bad))))
+    return checked.where(F.col("_g").isNull()).drop("_g", "_n")

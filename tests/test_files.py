@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as t
-from loomwork.operators import dictionary, mumps, reading, search, training
+from loomwork.operators import dictionary, mumps, mutants, reading, search, training
 from loomwork.sources import files
 from loomwork.streaming import progress
 
@@ -134,11 +134,11 @@ def test_mumps_kernels(spark):
     assert (f["RTN"]["lines_code"], f["RTN"]["lines_data"], f["RTN"]["first_comment"], f["RTN"]["max_depth"]) == (8, 1, "first words", 2)
     naked = mumps.naked_references(r).collect()
     assert [(x["raw"], x["resolved"]) for x in naked] == [("^(1)", "^DPT(A,1)")]
-    m = mumps.mutants(r).collect()
+    m = mutants.mutants(r).collect()
     assert len({(x["line"], x["mutated_line"]) for x in m}) == len(m)
     assert {"CMP_FLIP", "BOUNDARY", "POSTCOND", "ARG_ORDER", "STMT_DROP"} <= {x["operator"] for x in m}
     assert (8, ' S:A>1 Y=$P(X,"^",3)') in {(x["line"], x["mutated_line"]) for x in m}
-    dropped = spark.createDataFrame([("a\nb\nc", 2, None), ("a\nb\nc", 1, "z")], "s string, n int, m string").select(mumps.apply_mutant(F.col("s"), F.col("n"), F.col("m"))).collect()
+    dropped = spark.createDataFrame([("a\nb\nc", 2, None), ("a\nb\nc", 1, "z")], "s string, n int, m string").select(mutants.apply_mutant(F.col("s"), F.col("n"), F.col("m"))).collect()
     assert [x[0] for x in dropped] == ["a\nc", "z\nb\nc"]
     v = {x["label"]: x for x in mumps.local_variables(r).collect()}["EN"]
     assert v["formals"] == ["A", "B"] and "X" in v["newed"] and "Y" in v["unscoped"]
