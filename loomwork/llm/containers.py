@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 CAPACITY = 2048
 DIMENSIONS, BITS = 4, 8
 OPEN = 64
@@ -196,14 +198,16 @@ def _pack(capacity: int):
     return run
 
 
-def fill_containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = "bytes", per_range: int | None = None) -> DataFrame:
+def fill_containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = "bytes", per_range: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(container, doc_id, piece, from, to, tokens): every text, its pieces as character ranges, and where they went.
 
-    ``per_range``: number of ranges of the curve; by default the session's shuffle partitions.
+    ``per_range``: number of ranges of the curve; by default the session's shuffle partitions. Items are written before
+    they are ranged, for finding the ranges' bounds reads them once more.
     """
     items = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(
         _items(capacity, tokenizer), "doc_id bigint, piece int, from bigint, to bigint, tokens bigint, key bigint"
     )
+    items = (scratch or Scratch(documents.sparkSession)).keep(items)
     order = ["key", "doc_id", "piece"]
     ranges = items.repartitionByRange(per_range, *order) if per_range else items.repartitionByRange(*order)
     return ranges.sortWithinPartitions(*order).mapInPandas(_pack(capacity), "container bigint, doc_id bigint, piece int, from bigint, to bigint, tokens bigint")

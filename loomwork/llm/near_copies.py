@@ -100,6 +100,11 @@ def classes_of(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     return placed, classes.drop("kind", "tid")
 
 
+def _hot(table: DataFrame, key: str) -> list[tuple]:
+    """Values of one key of a written table that hold a large share of its rows."""
+    return [h[:1] for h in written_hot_keys(table, [key])]
+
+
 def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """(cid_e, cid_t, similarity): classes of evaluation and train records with Jaccard similarity at or over ``threshold``."""
     # Join keys are 40 bits of a code, and roles ride on the class id: narrow rows, for all codes pass through one shuffle.
@@ -122,18 +127,20 @@ def similar_classes(classes: DataFrame, scratch: Scratch, threshold: float = THR
     ordered = weighed.unionByName(common).groupBy("who").agg(F.array_sort(F.collect_list("x")).alias("alive")).withColumn("cid", F.shiftrightunsigned("who", 2))
     keep = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("alive")), F.lit(0)).cast("int")
     lead = F.transform(F.slice("alive", 1, keep), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
-    blocks = ordered.join(classes.select("cid", "n", "t", "e", "bits"), "cid").select("cid", "n", "t", "e", "bits", F.explode(lead).alias("key"))
-    blocks = scratch.keep(blocks)
-    of = lambda side, to: blocks.where(side).select("key", *[F.col(c).alias(c + to) for c in ("cid", "n", "bits")])
-    met = skew_join(of("t", "_t"), of("e", "_e"), ["key"], hot=[h[:1] for h in written_hot_keys(blocks, ["key"])])
-    smaller, larger = F.least("n_e", "n_t"), F.greatest("n_e", "n_t")
+    blocks = scratch.keep(ordered.join(classes.select("cid", "n", "t", "e"), "cid").select("cid", "n", "t", "e", F.explode(lead).alias("key")))
+    of = lambda side, to: blocks.where(side).select("key", F.col("cid").alias("cid" + to), F.col("n").alias("n" + to))
+    met = skew_join(of("t", "_t"), of("e", "_e"), ["key"], hot=_hot(blocks, "key"))
+    alike_size = F.least("n_e", "n_t") >= F.greatest("n_e", "n_t") * threshold - 1e-9
+    joined = scratch.keep(met.where(alike_size).select("cid_e", "cid_t", "n_e", "n_t").distinct())
+    shape = lambda to: classes.select(F.col("cid").alias("cid" + to), F.col("bits").alias("bits" + to))
+    shaped = skew_join(skew_join(joined, shape("_e"), ["cid_e"], hot=_hot(joined, "cid_e")), shape("_t"), ["cid_t"], hot=_hot(joined, "cid_t"))
     radius = (F.col("n_e") + F.col("n_t")) * (1 - threshold) / (1 + threshold) + 1e-6
-    apart = bits_apart(F.col("bits_e"), F.col("bits_t"))
-    near = scratch.keep(met.where(smaller >= larger * threshold - 1e-9).where(apart <= radius).select("cid_e", "cid_t").distinct())
+    near = scratch.keep(shaped.where(bits_apart(F.col("bits_e"), F.col("bits_t")) <= radius).select("cid_e", "cid_t"))
+    scratch.drop(blocks)
     needed = near.select(F.col("cid_e").alias("cid")).union(near.select("cid_t")).distinct()
     sets = classes.join(needed, "cid", "left_semi").select("cid", "codes")
     side = lambda to: sets.select(F.col("cid").alias("cid" + to), F.col("codes").alias("codes" + to))
-    pairs = skew_join(skew_join(near, side("_e"), ["cid_e"], hot=written_hot_keys(near, ["cid_e"])), side("_t"), ["cid_t"], hot=written_hot_keys(near, ["cid_t"]))
+    pairs = skew_join(skew_join(near, side("_e"), ["cid_e"], hot=_hot(near, "cid_e")), side("_t"), ["cid_t"], hot=_hot(near, "cid_t"))
     shared = F.size(F.array_intersect("codes_e", "codes_t"))
     alike = shared / (F.size("codes_e") + F.size("codes_t") - shared)
     return scratch.keep(pairs.select("cid_e", "cid_t", alike.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12))
@@ -150,7 +157,7 @@ def cross_split_pairs(records: DataFrame, scratch: Scratch | None = None, thresh
     members, classes = classes_of(records, scratch)
     pairs = similar_classes(classes, scratch, threshold)
     ev, tr = _sides(members)
-    hot = [(k,) for (k, *_) in written_hot_keys(members, ["cid"])]
+    hot = _hot(members, "cid")
     return skew_join(tr, skew_join(ev, pairs, ["cid_e"], hot=hot), ["cid_t"], hot=hot).select("kind", "key_e", "split_e", "source_e", "key_t", "source_t", "similarity")
 
 
@@ -164,8 +171,8 @@ def overlap_report(records: DataFrame, scratch: Scratch | None = None, threshold
     ev, tr = _sides(members)
     held = tr.groupBy("cid_t").agg(F.count("*").alias("held"))
     similar = similar_classes(classes, scratch, threshold)
-    per = skew_join(similar, held, ["cid_t"], hot=[h[:1] for h in written_hot_keys(similar, ["cid_t"])]).groupBy("cid_e").agg(F.sum("held").alias("pairs"), F.max("similarity").alias("most"))
-    return skew_join(ev, per, ["cid_e"], hot=[(k,) for (k, *_) in written_hot_keys(members, ["cid"])]).groupBy("kind", F.col("split_e").alias("split"), F.col("source_e").alias("source")).agg(
+    per = skew_join(similar, held, ["cid_t"], hot=_hot(similar, "cid_t")).groupBy("cid_e").agg(F.sum("held").alias("pairs"), F.max("similarity").alias("most"))
+    return skew_join(ev, per, ["cid_e"], hot=_hot(members, "cid")).groupBy("kind", F.col("split_e").alias("split"), F.col("source_e").alias("source")).agg(
         F.count("*").alias("records"), F.count_if(F.col("most") >= 1 - 1e-12).alias("exact_records"), F.sum("pairs").alias("pairs"), F.round(F.max("most"), 6).alias("highest_similarity")
     )
 
