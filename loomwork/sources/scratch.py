@@ -49,3 +49,13 @@ class Scratch:
                 path = found[1]
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes a run's result and deletes every other table of the run."""
+        kept = self.keep(df)
+        self.drop(*[frame for frame, _ in list(self.kept.values()) if frame is not kept])
+        return kept
+
+    def close(self) -> None:
+        """Deletes all tables of the run."""
+        self.drop(*[frame for frame, _ in list(self.kept.values())])
