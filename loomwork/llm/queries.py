@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from ..sources.tables import table
 from . import code_docs, containers, groups, languages, leaks, near_copies, shared_spans, syntax
 
 
+def _finished(spark: SparkSession, run: Callable[[Scratch], DataFrame]) -> DataFrame:
+    """The written result of a run; the run's other tables are deleted."""
+    scratch = Scratch(spark)
+    return scratch.finish(run(scratch))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(table(spark, d, "parsed_routines"))
 
@@ -20,19 +27,19 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return code_docs.documented_names(table(spark, d, "parsed_routines"))
+    return _finished(spark, lambda s: code_docs.documented_names(table(spark, d, "parsed_routines"), s))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return code_docs.documented_functions(table(spark, d, "parsed_routines"), table(spark, d, "routine_labels"))
+    return _finished(spark, lambda s: code_docs.documented_functions(table(spark, d, "parsed_routines"), table(spark, d, "routine_labels"), scratch=s))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return groups.grouped_split(table(spark, d, "mutation_tasks")).select("task_no", "unit_key")
+    return _finished(spark, lambda s: groups.grouped_split(table(spark, d, "mutation_tasks"), scratch=s).select("task_no", "unit_key"))
 
 
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
-    return groups.grouped_split(table(spark, d, "mutation_tasks"))
+    return _finished(spark, lambda s: groups.grouped_split(table(spark, d, "mutation_tasks"), scratch=s))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -41,45 +48,44 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near_copies.cross_split_pairs(_records(spark, d))
-    return pairs.select("kind", F.least("key_e", "key_t").alias("key_a"), F.greatest("key_e", "key_t").alias("key_b"))
+    ordered = ["kind", F.least("key_e", "key_t").alias("key_a"), F.greatest("key_e", "key_t").alias("key_b")]
+    return _finished(spark, lambda s: near_copies.cross_split_pairs(_records(spark, d), s).select(*ordered))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return near_copies.overlap_report(_records(spark, d))
+    return _finished(spark, lambda s: near_copies.overlap_report(_records(spark, d), s))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.sharing_routines(table(spark, d, "mutation_tasks"))
+    return _finished(spark, lambda s: shared_spans.sharing_routines(table(spark, d, "mutation_tasks"), s))
 
 
 def p5_parts(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_parts(table(spark, d, "mutation_tasks"))
+    return _finished(spark, lambda s: shared_spans.shared_parts(table(spark, d, "mutation_tasks"), s))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = containers.fill_containers(table(spark, d, "documents"))
-    return packed.where(F.col("piece") == 1).select("doc_id")
+    return _finished(spark, lambda s: containers.fill_containers(table(spark, d, "documents"), scratch=s).where(F.col("piece") == 1).select("doc_id"))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
-    return containers.fill_containers(table(spark, d, "documents"))
+    return _finished(spark, lambda s: containers.fill_containers(table(spark, d, "documents"), scratch=s))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    return containers.fill_report(containers.fill_containers(table(spark, d, "documents")))
+    return _finished(spark, lambda s: containers.fill_report(containers.fill_containers(table(spark, d, "documents"), scratch=s)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.PhraseIndex(table(spark, d, "documents")).phrases(table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return _finished(spark, lambda s: leaks.PhraseIndex(table(spark, d, "documents"), s).phrases(table(spark, d, "heldout_items")).select("doc_id", "item_id"))
 
 
 def p7_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.PhraseIndex(table(spark, d, "documents")).phrases(table(spark, d, "heldout_items"))
+    return _finished(spark, lambda s: leaks.PhraseIndex(table(spark, d, "documents"), s).phrases(table(spark, d, "heldout_items")))
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.PhraseIndex(table(spark, d, "documents")).near(table(spark, d, "heldout_items"))
+    return _finished(spark, lambda s: leaks.PhraseIndex(table(spark, d, "documents"), s).near(table(spark, d, "heldout_items")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
