@@ -74,10 +74,19 @@ def capture_plan(requests: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def capped(rows: DataFrame, group: list[str], order: list[str], admitted: F.Column, most: int) -> DataFrame:
-    """Rows of each group up to that at which ``most`` admitted ones are reached; later ones were never tried."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(admitted, 1).otherwise(0)).over(w), F.lit(0))
-    return rows.withColumn("_b", before).where(F.col("_b") < most).drop("_b")
+    """Rows of each group up to that at which ``most`` admitted ones are reached; later ones were never tried.
+
+    Only the ``most``-th admitted row of a group is looked for, of which each task keeps no more, so no group is ordered
+    as a whole. ``order`` must tell a group's rows apart; nulls in ``group`` are a group.
+    """
+    place = F.struct(*order)
+    w = Window.partitionBy(*group).orderBy(*order)
+    reached = rows.where(F.coalesce(admitted, F.lit(False))).select(*group, place.alias("_last"), *[F.col(c) for c in order if c not in group])
+    last = reached.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == most).select(*[F.col(g).alias(f"_{g}") for g in group], "_last")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return rows.join(last, same, "left").where(F.col("_last").isNull() | (place <= F.col("_last"))).drop("_last", *[f"_{g}" for g in group])
 
 
 def until_target(groups: DataFrame, order: list[str], gain: str, target: int, scratch: Scratch | None = None) -> DataFrame:
@@ -152,3 +161,16 @@ def build_cases(base: DataFrame, pools: DataFrame, extremes: list[str], most: in
 def enough_cases(cases: DataFrame, least: int) -> DataFrame:
     """(entry, cases, enough): entries with their number of cases and whether it is at least ``least``."""
     return cases.groupBy("entry").agg(F.count("*").alias("cases"), (F.count("*") >= least).alias("enough"))
+
+
+def capture_choice(roots: DataFrame, bounded: DataFrame, limit: int = 2000, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """(routine, tier, complete): how to capture what a routine changes: by query if all its roots are small, by trigger
+    otherwise. Without roots: none where its writes are known (``bounded``: routine, known), else an incomplete trigger.
+
+    roots (routine, root, nodes, scratch) as in ``capture_tiers``; reserved roots count for nothing.
+    """
+    per = capture_tiers(roots, limit, reserved).groupBy("routine").agg(F.bool_or(F.col("tier") == "trigger").alias("large"))
+    j = bounded.join(per, "routine", "left")
+    known = F.coalesce("known", F.lit(False))
+    tier = F.when(F.col("large"), "trigger").when(~F.col("large"), "query").when(known, "none").otherwise("trigger")
+    return j.select("routine", tier.alias("tier"), (F.col("large").isNotNull() | known).alias("complete"))

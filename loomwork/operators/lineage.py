@@ -135,3 +135,17 @@ def leaked(evaluation: DataFrame, train: DataFrame, key: str = "name") -> DataFr
     """Keys of evaluation rows that also occur on the train side, without case and outer blanks."""
     norm = lambda df: df.select(F.upper(F.trim(F.col(key).cast("string"))).alias(key)).where(F.col(key).isNotNull()).distinct()
     return norm(evaluation).join(norm(train), key, "left_semi")
+
+
+def cover_faults(units: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, fault): names that no unit holds, that several hold, or that units hold without need; none where units cover names once."""
+    held = units.where(F.col("name").isNotNull()).select("name", "unit_key").distinct().groupBy("name").agg(F.count("*").alias("units"))
+    known = names.where(F.col("name").isNotNull()).select("name").distinct().withColumn("_known", F.lit(True))
+    j = held.join(known, "name", "full")
+    fault = F.when(F.col("units").isNull(), "in no unit").when(F.col("_known").isNull(), "unknown").when(F.col("units") > 1, "in several units")
+    return j.select("name", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def on_side(sides: DataFrame, side: str) -> DataFrame:
+    """(name) in upper case of one side of a split."""
+    return sides.where(F.col("side") == side).select(F.upper(F.trim("name")).alias("name")).where(F.col("name").isNotNull()).distinct()

@@ -99,5 +99,12 @@ def matching_names(names: DataFrame, pattern: str, column: str = "name") -> Data
     return names.where(c.rlike(glob_regex(p)) if any(x in p for x in "*?[") else c.contains(p))
 
 
+def listed_names(names: DataFrame, pattern: str, most: int, column: str = "name") -> DataFrame:
+    """(name, total): the first ``most`` different names that match, in order, with the number of all that do."""
+    found = matching_names(names, pattern, column).select(column).distinct()
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy(column).limit(most).join(F.broadcast(total))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -100,3 +100,33 @@ def upsert(rows: DataFrame, news: DataFrame, key: F.Column, order: str) -> DataF
     both = rows.withColumn("_new", F.lit(0)).unionByName(news.withColumn("_new", F.lit(1))).withColumn("_k", key)
     cols = [c for c in both.columns if c not in ("_new", "_k")]
     return both.groupBy("_k").agg(F.max_by(F.struct(*cols), F.struct(order, "_new")).alias("r")).select("r.*")
+
+
+def subtree_counts(state: DataFrame, refs: DataFrame, cap: int) -> DataFrame:
+    """(ref, nodes, capped): how many nodes stand at or under each wanted node, no more than ``cap``, and whether there are more."""
+    wanted = refs.select("ref").where(F.col("ref").isNotNull()).distinct()
+    above = state.where(F.col("ref").isNotNull()).select(F.explode(F.array_append(ancestors(F.col("ref")), F.col("ref"))).alias("ref")).groupBy("ref").agg(F.count("*").alias("n"))
+    j = wanted.join(above, "ref", "left").select("ref", F.coalesce("n", F.lit(0)).alias("n"))
+    return j.select("ref", F.least("n", F.lit(cap)).alias("nodes"), (F.col("n") > cap).alias("capped"))
+
+
+def receipt_faults(receipts: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, fault) of receipts that do not fit their plan.
+
+    receipts (plan_id, digest, ops), plans (plan_id, ref, op, before_value, value): unknown plan, another number of
+    operations, repeated ref, set without value or kill with one, or a digest that is not that of the plan's operations.
+    """
+    line = F.concat_ws("|", "ref", "op", F.coalesce("before_value", F.lit("<absent>")), F.coalesce("value", F.lit("<absent>")))
+    lines = plans.select("plan_id", "ref", F.xxhash64(line).alias("h"), F.when(F.col("op") == "set", F.col("value").isNull()).when(F.col("op") == "kill", F.col("value").isNotNull()).otherwise(True).alias("odd"))
+    per = lines.groupBy("plan_id").agg(F.count("*").alias("n"), F.countDistinct("ref").alias("refs"), F.bool_or("odd").alias("odd"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"))
+    j = receipts.join(per, "plan_id", "left")
+    faults = F.array_compact(F.array(
+        F.when(F.col("n").isNull(), "unknown plan"), F.when(F.col("n") != F.col("ops"), "number of operations"), F.when(F.col("n") != F.col("refs"), "repeated ref"),
+        F.when(F.col("odd"), "operation and value"), F.when(F.col("n").isNotNull() & ~F.col("digest").eqNullSafe(plan_digest(F.col("x"), F.col("s"))), "digest"),
+    ))
+    return j.select("plan_id", F.explode(faults).alias("fault"))
+
+
+def plan_digest(x, s) -> F.Column:
+    """Digest of a plan from the exclusive or and the sum of its operations' hashes, so in any order of rows."""
+    return F.sha2(F.concat_ws("|", x.cast("string"), s.cast("string")), 256)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attempts, cases, dictionary, reports, training
+from ..operators import attempts, cases, dictionary, lineage, reports, search, training
 from ..operators import statediff as sd
 from ..sources.tables import table
 
@@ -109,6 +109,10 @@ QUERIES = {
     "case_counts": lambda s, d: cases.enough_cases(_built(s, d), 5),
     "task_documents": lambda s, d: reports.as_json(table(s, d, "supplier"), ["s_suppkey"], ["s_name", "s_nationkey"]),
     "kept_entries": lambda s, d: reports.trace_entry(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ", -1).alias("words")), "words").select("doc_id", "total", F.array_join("words", " ").alias("kept")),
+    "name_list": lambda s, d: search.listed_names(_names(s, d), "*0*", 15),
+    "subtree_counts": lambda s, d: sd.subtree_counts(_subtree(s, d)[1], _subtree(s, d)[0], 1),
+    "cover_faults": lambda s, d: lineage.cover_faults(table(s, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_nationkey") % 3).alias("unit_key")), table(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_name").alias("name"))),
+    "capture_choice": lambda s, d: cases.capture_choice(table(s, d, "orders").select(F.col("o_custkey").alias("routine"), F.col("o_orderstatus").alias("root"), F.floor("o_totalprice").alias("nodes"), (F.col("o_orderstatus") == "P").alias("scratch")), table(s, d, "customer").select(F.col("c_custkey").alias("routine"), (F.col("c_acctbal") > 0).alias("known")), 200000, ("F",)),
     "plan_ready_subtree": lambda s, d: sd.ready(*_subtree(s, d)),
     "plan_apply_subtree": lambda s, d: sd.apply_plan(*_subtree(s, d)),
 }
@@ -174,6 +178,11 @@ SQL = {
     "case_counts": f"WITH {_CASES} SELECT entry, count(*) AS cases, count(*) >= 5 AS enough FROM built GROUP BY 1",
     "task_documents": "SELECT s_suppkey, CAST(to_json(struct_pack(s_name := s_name, s_nationkey := s_nationkey)) AS VARCHAR) AS document FROM supplier",
     "kept_entries": "SELECT doc_id, CAST(len(w) AS INTEGER) AS total, array_to_string(w[:20], ' ') AS kept FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)",
+    "name_list": "WITH n AS (SELECT DISTINCT upper(name) AS name FROM parsed_routines WHERE path LIKE '%.m' AND contains(upper(name), '0')) SELECT name, (SELECT count(*) FROM n) AS total FROM n ORDER BY name LIMIT 15",
+    "subtree_counts": "SELECT concat('^C(', c_custkey, ')') AS ref, CAST(1 AS BIGINT) AS nodes, c_nationkey > 5 AS capped FROM customer",
+    "cover_faults": "SELECT s_name AS name, 'unknown' AS fault FROM supplier GROUP BY 1 HAVING NOT bool_or(coalesce(s_acctbal > 5000, false))",
+    "capture_choice": """WITH r AS (SELECT o_custkey AS routine, bool_or(floor(o_totalprice) > 200000) AS large FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+        SELECT c_custkey AS routine, CASE WHEN large THEN 'trigger' WHEN NOT large THEN 'query' WHEN c_acctbal > 0 THEN 'none' ELSE 'trigger' END AS tier, large IS NOT NULL OR coalesce(c_acctbal > 0, false) AS complete FROM customer LEFT JOIN r ON routine = c_custkey""",
     "plan_ready_subtree": f"WITH {_SUB} SELECT count(*) AS ops, count(*) FILTER (c_nationkey > 5) AS conflicts, CAST(0 AS BIGINT) AS duplicate_refs, count(*) FILTER (c_nationkey > 5) = 0 AS ready FROM customer",
     "plan_apply_subtree": f"WITH {_SUB} SELECT * FROM st",
 }

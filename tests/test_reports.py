@@ -187,3 +187,35 @@ def test_signature_codes_are_credentials(spark):
     fields = spark.createDataFrame([("200", "0", 1, "NAME"), ("200", "0", 2, "SIGNATURE CODE"), ("200", "0", 3, "CRYPTOGRAPHIC HASH")], "file string, node string, position int, name string")
     r = dictionary.redact(nodes, fields, ["ref"]).first()
     assert (r["value"], r["redactions"]) == ("JOE^<redacted>^<redacted>^9", 2)
+
+
+def test_plans_receipts_subtrees_and_covers(spark):
+    from loomwork.operators import lineage, search, statediff
+
+    state = spark.createDataFrame([("^A(1)", "x"), ("^A(1,2)", "y"), ('^A(1,"b,c")', "z"), ("^B", "q"), (None, "n")], "ref string, value string")
+    refs = spark.createDataFrame([("^A(1)",), ("^A",), ("^Z",), (None,)], "ref string")
+    assert {r["ref"]: (r["nodes"], r["capped"]) for r in statediff.subtree_counts(state, refs, 2).collect()} == {"^A(1)": (2, True), "^A": (2, True), "^Z": (0, False)}
+    p = spark.createDataFrame([("p", "^A(1)", "set", None, "x"), ("p", "^A(2)", "kill", "y", None), ("q", "^A(1)", "kill", "y", "z"), ("q", "^A(1)", "set", None, None)], "plan_id string, ref string, op string, before_value string, value string")
+    line = F.xxhash64(F.concat_ws("|", "ref", "op", F.coalesce("before_value", F.lit("<absent>")), F.coalesce("value", F.lit("<absent>"))))
+    good = p.groupBy("plan_id").agg(statediff.plan_digest(F.bit_xor(line), F.sum(line.cast("decimal(20,0)"))).alias("digest"), F.count("*").cast("int").alias("ops"))
+    more = spark.createDataFrame([("none", "d", 1)], "plan_id string, digest string, ops int")
+    faults = {}
+    for r in statediff.receipt_faults(good.unionByName(more), p).collect():
+        faults.setdefault(r["plan_id"], set()).add(r["fault"])
+    assert faults == {"q": {"repeated ref", "operation and value"}, "none": {"unknown plan"}}
+    u = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("x", "3"), (None, "3"), ("a", "1")], "name string, unit_key string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "name string")
+    assert {tuple(r) for r in lineage.cover_faults(u, n).collect()} == {("b", "in several units"), ("c", "in no unit"), ("x", "unknown")}
+    assert [r["name"] for r in lineage.on_side(spark.createDataFrame([(" a", "train"), ("b", "eval"), (None, "train")], "name string, side string"), "train").collect()] == ["A"]
+    assert [tuple(r) for r in search.listed_names(n, "[A-B]", 1).collect()] == [] and [tuple(r) for r in search.listed_names(n.select(F.upper("name").alias("name")), "[A-B]", 1).collect()] == [("A", 2)]
+
+
+def test_capped_rows_and_capture_choices(spark):
+    rows = spark.createDataFrame([("r", i, i % 3 == 0) for i in range(12)] + [(None, 1, True), (None, 2, None), ("s", 1, False)], "g string, n int, ok boolean")
+    got = {}
+    for r in cases.capped(rows, ["g"], ["n"], F.col("ok"), 2).collect():
+        got.setdefault(r["g"], set()).add(r["n"])
+    assert got == {"r": {0, 1, 2, 3}, None: {1, 2}, "s": {1}}
+    roots = spark.createDataFrame([("a", "^A(", 10, False), ("a", "^R(", 9_999, False), ("b", "^A(", 9_999, False), ("b", "^B(", 1, False)], "routine string, root string, nodes int, scratch boolean")
+    known = spark.createDataFrame([("a", False), ("b", True), ("c", True), ("d", None)], "routine string, known boolean")
+    assert {r["routine"]: (r["tier"], r["complete"]) for r in cases.capture_choice(roots, known, 2000, ("^R(",)).collect()} == {"a": ("query", True), "b": ("trigger", True), "c": ("none", True), "d": ("trigger", False)}
