@@ -237,7 +237,7 @@ def _digests(length: int, window: int):
 
         x = characters(text)
         wanted = np.zeros(len(x) - length + 1, bool)
-        paths = []
+        paths, periods = [], set()
         for pos, size in places:
             end = pos + size - k  # the last k-mer
             wanted[max(0, pos - window + 1) : pos] = True
@@ -246,16 +246,21 @@ def _digests(length: int, window: int):
                 paths.append((d >> 64, d & (1 << 64) - 1, pos, pos + size))
             # A k-mer that repeats soon counted once; the spans that begin at its repetitions are those up to the next period.
             near = Grams(x[end : end + k + window]).of(k)
-            more = window - 1 if (near[1:] == near[0]).any() else 0
-            wanted[max(pos, pos + size - length + 1) : end + more + 1] = True
+            again = np.flatnonzero(near[1:] == near[0])
+            if len(again):
+                periods.add(int(again[0]) + 1)
+            wanted[max(pos, pos + size - length + 1) : end + (window if len(again) else 1)] = True
         found = [tuple(np.array(v, t) for v, t in zip(zip(*paths), (np.uint64, np.uint64, np.int64, np.int64)))] if paths else []
-        # A span of one character stands for the whole run of it.
-        change = np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, len(x))
+        # Where the text goes on with the period of a span, the span stands for all its repetitions.
+        breaks = {d: np.append(np.flatnonzero(x[d:] != x[:-d]) + d, len(x)) for d in sorted(periods)}
         for begin in range(0, len(wanted), PIECE):
             at = np.flatnonzero(wanted[begin : begin + PIECE])
             if len(at):
                 piece = x[begin : begin + PIECE + length - 1]
-                ends = np.maximum(at + begin + length, change[np.searchsorted(change, at + begin, side="right")])
+                ends = at + begin + length
+                for d, stops in breaks.items():
+                    beyond = stops[np.searchsorted(stops, at + begin + d)] - (at + begin + length)
+                    ends = np.maximum(ends, at + begin + length + np.where(beyond > 0, beyond // d * d, 0))
                 found.append((Grams(piece).of(length)[at], Grams(piece, 0xD1B54A32D192ED03).of(length)[at], at + begin, ends))
         return tuple(np.concatenate(v) for v in zip(*found)) if found else None
 

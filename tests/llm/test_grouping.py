@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -184,3 +185,46 @@ def test_equal_segments_of_a_similarity_hash_miss_pairs():
     texts = [" ".join(f"x{rng.randrange(99)}" if rng.random() < 0.05 else w for w in base) for _ in range(60)]
     recall, _ = near_copies.segment_recall(texts[:30], texts[30:], 4)
     assert recall < 0.9
+
+
+def covered(rows, length):
+    """Per name its characters and those within a span that another name holds, over different texts."""
+    texts = sorted(set(rows))
+    out = {}
+    for n, x in texts:
+        if len(x) < length:
+            continue
+        other = [y for m, y in texts if m != n]
+        hit = [False] * len(x)
+        for i in range(len(x) - length + 1):
+            if any(x[i : i + length] in y for y in other):
+                hit[i : i + length] = [True] * length
+        a, b = out.get(n, (0, 0))
+        out[n] = (a + len(x), b + sum(hit))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_periods_runs_and_shifted_copies(spark, seed):
+    """Periodic texts, runs, copies that begin and end anywhere, and one text of several routines: pairs and parts are exact."""
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    base = noise(220)
+    rows = []
+    for i in range(14):
+        kind = rng.randrange(4)
+        if kind == 0:
+            body = (rng.choice(["ab", "abc", "x", "hello ", "0123456789abcdef0123456789abcdef"]) * 200)[rng.randrange(6) :][: rng.randrange(40, 260)]
+        elif kind == 1:
+            a = rng.randrange(150)
+            body = base[a : a + rng.randrange(40, 120)]
+        elif kind == 2:
+            body = base[: rng.randrange(40, 220)] + "=" * rng.randrange(90) + base[100 : 100 + rng.randrange(100)]
+        else:
+            body = rows[rng.randrange(len(rows))][1] if rows else noise(90)
+        rows.append((f"R{i % 11:02}", noise(rng.randrange(30)) * rng.randrange(2) + body + noise(rng.randrange(30)) * rng.randrange(2)))
+    df = tasks(spark, *[(i, n, t, None, None) for i, (n, t) in enumerate(rows)])
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and any(x[i : i + 60] in y for i in range(len(x) - 59))}
+    assert {tuple(r) for r in shared_spans.sharing_routines(df, length=60, window=16).collect()} == want
+    parts = {r["name"]: (r["chars"], r["shared_chars"]) for r in shared_spans.shared_parts(df, length=60, window=16).collect()}
+    assert parts == covered(rows, 60)
