@@ -66,7 +66,7 @@ def _qa(s, d):
 
 
 def _reward(s, d):
-    t = table(s, d, "attempts").where("seed IS NOT NULL").select("run_id", "condition", "task_id", "attempt", "seed", F.col("harness_error").alias("error"), F.when(F.col("submitted"), F.col("task_id")).alias("candidate"), F.col("verdict.equivalent").alias("equivalent"), "verdict.n_cases", "verdict.n_diverged", "verdict.n_void")
+    t = table(s, d, "attempts").select("run_id", "condition", "task_id", "attempt", "seed", F.col("harness_error").alias("error"), F.when(F.col("submitted"), F.col("task_id")).alias("candidate"), F.col("verdict.equivalent").alias("equivalent"), "verdict.n_cases", "verdict.n_diverged", "verdict.n_void")
     return training.reward(t, True)
 
 
@@ -129,7 +129,7 @@ SQL = {
         SELECT name, CAST(3 AS INTEGER) AS n, question AS user, md5(CAST(to_json(messages) AS VARCHAR)) AS digest FROM m""",
     "qa_pairs": f"WITH {_QA} SELECT * FROM qa",
     "rewards": """WITH g AS (SELECT CASE WHEN trim(coalesce(CASE WHEN submitted THEN task_id END, '')) = '' THEN 'empty candidate' WHEN harness_error IS NOT NULL THEN 'error' WHEN coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0) <= 0 THEN 'nothing gradable'
-        WHEN coalesce(verdict.equivalent, false) THEN 'equivalent' ELSE 'diverged' END AS reason, greatest(round((coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0) - coalesce(verdict.n_diverged, 0)) / nullif(coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0), 0), 6), 0) AS part FROM attempts WHERE seed IS NOT NULL)
+        WHEN coalesce(verdict.equivalent, false) THEN 'equivalent' ELSE 'diverged' END AS reason, greatest(round((coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0) - coalesce(verdict.n_diverged, 0)) / nullif(coalesce(verdict.n_cases, 0) - coalesce(verdict.n_void, 0), 0), 6), 0) AS part FROM attempts)
         SELECT reason, count(*) AS n, round(avg(CASE reason WHEN 'equivalent' THEN 1.0::DOUBLE WHEN 'diverged' THEN part ELSE 0 END), 6) AS mean_reward FROM g GROUP BY 1""",
     "admission": """WITH t AS (SELECT task_no, max(n_diverged) AS n_diverged, max(upper(trim(routine))) AS name, max(mutated_src) AS mutated_src FROM mutation_tasks WHERE task_no IS NOT NULL GROUP BY 1),
         e AS (SELECT *, CASE WHEN name IS NULL OR name NOT IN (SELECT upper(name) FROM parsed_routines WHERE name IS NOT NULL AND repo IS NOT NULL) THEN 'off_split' WHEN coalesce(n_diverged, 0) < 2 THEN 'no_case_separates' END AS early FROM t),
