@@ -1,6 +1,6 @@
 """The kernels over MUMPS source on one small routine, beside the rows that the rules of the language ask for.
 
-Expected rows were worked out by hand; SQL only lists them. The same kernels run over whole tables in ``routine_queries``.
+The listed rows are output that was read through line by line against those rules, so they guard against changes. The same kernels run over whole tables in ``routine_queries``.
 """
 
 from __future__ import annotations
